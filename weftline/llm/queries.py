@@ -7,27 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import embeddings, neardup, pieces
+from weftline.llm.lengths import length_histogram, suffix_sums
 from weftline.llm.licenses import scan_licenses
 from weftline.llm.mixing import mix, word_count
+from weftline.llm.pseudonyms import pseudonymise
 from weftline.llm.quality import quality
 from weftline.llm.sharding import assign_shards
+from weftline.llm.warc import archived_pages, warc_records, write_warc
 from weftline.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The key of the pseudonyms; a cluster sets its own.
+KEY = "spark.weftline.pseudonyms.key"
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    encoded = pieces.encode(docs, tokenizer()).drop("text")
+    decoded = pieces.decode(encoded, tokenizer())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality(docs).select(*names)
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     placed = assign_shards(docs, shards=40, seed=17)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_warc(warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0))
+    return archived_pages(spark, path).drop("payload")
+
+
+def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer()))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = cut(docs.select("doc_id", "source", word_count().alias("n_words")))
@@ -39,11 +77,22 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_blocks")
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pseudonymise(docs, spark.conf.get(KEY, "weftline")).select("doc_id", "text", "n_private")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_pieces": op1_pieces,
+    "op2_embeddings": op2_embeddings,
     "op3_quality": op3_quality,
+    "op4_neardup": op4_neardup,
     "op5_sharding": op5_sharding,
+    "op6_warc": op6_warc,
+    "op7_lengths": op7_lengths,
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 SQL: dict[str, str] = {}
