@@ -88,11 +88,12 @@ def _north_american(number: int) -> bool:
 
 
 def phone(f: Feistel, found: str) -> str | None:
+    """Numbers that the numbering plan allows stay allowed; others in a telephone number's form stay as they are not."""
     digits = _digits(found)
-    ten = digits[-10:]
-    if len(ten) < 10 or not _north_american(int(ten)):
-        return None
-    return _refill(found, digits[:-10] + str(f.among(int(ten), 10**10, "phone", _north_american)).zfill(10))
+    number = int(digits[-10:])
+    allowed = _north_american(number)
+    new = f.among(number, 10**10, "phone", lambda x: _north_american(x) == allowed and x >= 10**9)
+    return _refill(found, digits[:-10] + str(new)) if number >= 10**9 else None
 
 
 def _social(number: int) -> bool:
@@ -220,8 +221,8 @@ def pseudonymise_text(f: Callable[[int, str], str | None], text: str) -> tuple[s
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` pseudonymised, and n_private (values replaced) and private_spans (kind, start, end).
 
-    A candidate must pass its kind's check: calendar, Luhn, mod 97, octets, numbering plan. It is then permuted with
-    the key among the values that pass the same check in the same format; so equal values have equal pseudonyms in
+    A candidate must pass its kind's check: calendar, Luhn, mod 97, octets, social number ranges, or the form of a
+    telephone number. It is then permuted with the key among the values that pass the same check in the same format; so equal values have equal pseudonyms in
     all documents, different values different ones, and lengths and marks stay. Addresses keep their domain, and card
     numbers and IBANs get check digits that hold. Spans count characters of the text as it was.
 
