@@ -223,8 +223,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A candidate must pass its kind's check: calendar, Luhn, mod 97, octets, social number ranges, or the form of a
     telephone number. It is then permuted with the key among the values that pass the same check in the same format; so equal values have equal pseudonyms in
-    all documents, different values different ones, and lengths and marks stay. Addresses keep their domain, and card
-    numbers and IBANs get check digits that hold. Spans count characters of the text as it was.
+    all documents, different values different ones, and marks and (but for IP addresses) lengths stay. Addresses keep
+    their domain, and card numbers and IBANs get check digits that hold. Spans count characters of the text as it was.
 
     A null text stays null with n_private 0; empty texts, repeated rows and extra columns pass through, except
     that columns named n_private and private_spans are replaced. An empty table gives no rows. Nothing is shuffled.

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftline.llm import embeddings, neardup, pieces
 from weftline.llm.lengths import length_histogram, suffix_sums
 from weftline.llm.licenses import scan_licenses
 from weftline.llm.mixing import mix, word_count
 from weftline.llm.pseudonyms import pseudonymise
 from weftline.llm.quality import quality
+from weftline.llm.settings import pseudonym_key, tokenizer
 from weftline.llm.sharding import assign_shards
 from weftline.llm.warc import archived_pages, warc_records, write_warc
 from weftline.plans.lineage import cut
@@ -20,20 +22,10 @@ from weftline.plans.lineage import cut
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: The key of the pseudonyms; a cluster sets its own.
-KEY = "spark.weftline.pseudonyms.key"
-
-
-def tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = pieces.encode(docs, tokenizer()).drop("text")
-    decoded = pieces.decode(encoded, tokenizer())
+    encoded = pieces.encode(docs, tokenizer(spark)).drop("text")
+    decoded = pieces.decode(encoded, tokenizer(spark))
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
@@ -63,7 +55,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer()))
+    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer(spark)))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +71,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, spark.conf.get(KEY, "weftline")).select("doc_id", "text", "n_private")
+    return pseudonymise(docs, pseudonym_key(spark)).select("doc_id", "text", "n_private")
 
 
 QUERIES: dict[str, Query] = {
@@ -93,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_pseudonyms": op10_pseudonyms,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
