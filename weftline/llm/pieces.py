@@ -105,18 +105,30 @@ def _known(docs: DataFrame, model: str, text: str):
     return docs.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["ids"]) for r in rows})
 
 
-def _ids_by_text(sp: sentencepiece.SentencePieceProcessor, known: dict[str, bytes], texts: list[str | None]) -> list[bytes]:
-    """Ids of every text; chunks that aren't known are segmented once for all these texts."""
+class Table(dict):
+    """A dictionary that starts as ``known`` and forgets what it has learnt once that is too much."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.known = known
+
+    def learn(self, runs: list[list], made) -> None:
+        """Have an entry for everything in ``runs``; ``made`` gives the entries of a list of distinct new keys."""
+        if len(self) > len(self.known) + TABLE_CHUNKS:
+            self.clear()
+            self.update(self.known)
+        new: set = set()
+        for run in runs:
+            new.update(set(run).difference(self))
+        if new:
+            self.update(made(list(new)))
+
+
+def _ids_by_text(sp: sentencepiece.SentencePieceProcessor, table: Table, texts: list[str | None]) -> list[bytes]:
+    """Ids of every text; chunks that aren't in the table are segmented once for all these texts."""
     cut_up = [chunks(t or "") for t in texts]
-    rare = set().union(*cut_up).difference(known.keys())
-    fresh = segment(sp, list(rare))
-    if not fresh:
-        return [b"".join(map(known.__getitem__, c)) for c in cut_up]
-
-    def find(chunk: str) -> bytes:
-        return known[chunk] if chunk in known else fresh[chunk]
-
-    return [b"".join(map(find, c)) for c in cut_up]
+    table.learn(cut_up, lambda new: segment(sp, new))
+    return [b"".join(map(table.__getitem__, c)) for c in cut_up]
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True) -> DataFrame:
@@ -134,9 +146,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True) -
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
+        table = Table(known.value)
         first, last = (np.array([i], "<u4").tobytes() if ends else b"" for i in (sp.bos_id(), sp.eos_id()))
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            ids = [first + body + last for body in _ids_by_text(sp, known.value, batch.column(text).to_pylist())]
+            ids = [first + body + last for body in _ids_by_text(sp, table, batch.column(text).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays(
@@ -160,9 +173,10 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", ends: bool = T
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
+        table = Table(known.value)
         extra = 2 if ends else 0
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            ids = _ids_by_text(sp, known.value, batch.column(text).to_pylist())
+            ids = _ids_by_text(sp, table, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in rest), pa.array([len(x) // 4 + extra for x in ids], pa.int64())], names=[*rest, "n_tokens"]
             )
@@ -173,8 +187,8 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", ends: bool = T
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with ``text``, as the sentencepiece library decodes ``ids``, an array of int; null ids give a null.
 
-    Ids are cut before every piece that begins with a marker, each distinct run is decoded once per batch, and the
-    texts are joined by position. Ids of control pieces stand for nothing. ``ids`` itself is dropped.
+    Ids are cut before every piece that begins with a marker, distinct runs are decoded by a table like that of the
+    chunks, and the texts are joined by position. Ids of control pieces stand for nothing. ``ids`` itself is dropped.
     """
     rest = [c for c in docs.columns if c not in (ids, text)]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(text, T.StringType())])
@@ -185,23 +199,23 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
         marked = np.array([sp.id_to_piece(i)[:1] == MARKER for i in pieces])
         control = np.array([sp.is_control(i) for i in pieces])
 
-        class Decoded(dict):
-            def __missing__(self, run: bytes) -> str:
-                self[run] = sp.decode(np.frombuffer(run, "<i4").tolist())
-                return self[run]
+        def made(new: list[bytes]) -> dict[bytes, str]:
+            return dict(zip(new, sp.decode([np.frombuffer(run, "<i4").tolist() for run in new], num_threads=1), strict=True))
 
+        table = Table({})
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            table, texts = Decoded(), []
+            cut_up: list[list[bytes] | None] = []
             for row in batch.column(ids):
                 if not row.is_valid:
-                    texts.append(None)
+                    cut_up.append(None)
                     continue
                 values = row.values.to_numpy(zero_copy_only=False).astype("<i4")
                 values = values[~control[values]]
                 raw = values.tobytes()
                 at = (np.flatnonzero(marked[values[1:]]) * 4 + 4).tolist()
-                runs = [raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True)]
-                texts.append(" ".join(map(table.__getitem__, runs)) if raw else "")
+                cut_up.append([raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True)] if raw else [])
+            table.learn([runs for runs in cut_up if runs], made)
+            texts = [None if runs is None else " ".join(map(table.__getitem__, runs)) for runs in cut_up]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, text])
 
     return docs.mapInArrow(decoded, schema)
