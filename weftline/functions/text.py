@@ -193,15 +193,13 @@ def term_counts(c: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(words)), lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("n")))
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """Cosine of tf-idf weights where the two titles are the whole corpus.
+def title_similarity(ta: Column, tb: Column) -> Column:
+    """Cosine of tf-idf weights where two titles, given as columns of :func:`term_counts`, are the whole corpus.
 
     The weight of a term is how often the title has it, times 1 + ln(2 / (1 + titles that have it)): so 1 + ln(2 / 3)
     for terms of both titles and 1 for others. 0 if a title is null or has no words.
     """
     shared = 1 + math.log(2 / 3)
-    ta, tb = term_counts(a), term_counts(b)
-
     def count(of: Column, term: Column) -> Column:
         return F.coalesce(F.get(F.filter(of, lambda x: x["term"] == term), F.lit(0))["n"], F.lit(0))
 

@@ -51,12 +51,13 @@ def hybrid_scores(pairs: DataFrame, thresholds: config.Thresholds | None = None)
     t = thresholds or config.Thresholds()
     w, b = config.WEIGHTS, config.BONUSES
     entities, shared = entity_score(F.col("a_entities"), F.col("s_entities"))
-    df = pairs.withColumns(
+    terms = {"_a_terms": T.term_counts(F.col("a_title")), "_s_terms": T.term_counts(F.col("s_title"))}
+    df = pairs.withColumns(terms).withColumns(
         {
             "embedding_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sim"))),
             "entity_score": entities,
             "shared_entities": shared,
-            "title_score": T.title_similarity(F.col("a_title"), F.col("s_title")),
+            "title_score": T.title_similarity(F.col("_a_terms"), F.col("_s_terms")),
             "time_score": time_score(F.col("a_published_at"), F.col("s_last_at"), t.decay_hours),
             "geo_score": geo_score([(f"a_{g}", f"s_{g}") for g in ("country", "state", "city") if f"a_{g}" in pairs.columns]) if "a_country" in pairs.columns else F.lit(0.0),
         }
@@ -69,7 +70,7 @@ def hybrid_scores(pairs: DataFrame, thresholds: config.Thresholds | None = None)
         w["embedding"] * F.col("embedding_score") + w["entities"] * F.col("entity_score") + w["title"] * F.col("title_score")
         + w["time"] * F.col("time_score") + w["geography"] * F.col("geo_score")
     )
-    return df.withColumn("total", F.least(base + bonus, F.lit(1.0)))
+    return df.drop("_a_terms", "_s_terms").withColumn("total", F.least(base + bonus, F.lit(1.0)))
 
 
 def threshold(domain: Column, opinion: Column, has_artifacts: Column, t: config.Thresholds | None = None) -> Column:
