@@ -157,7 +157,7 @@ def divergences(docs: DataFrame, rules: QualityRules, text: str = "text", lang:
     common = sorted({w for r in rules.references.values() for w in r.words})
     listed = F.array(*map(F.lit, common))
     found = F.filter(F.transform(words, lambda w: F.array_position(listed, F.lower(w)).cast("int")), lambda k: k > 0)
-    df = df.withColumns({"_q_common": found, "_q_shares": _with_rest(F.array(*(c / size for c in counts)))})
+    df = df.withColumns({"_q_common": found, "_q_shares": _with_rest(F.array(*(c / F.greatest(size, F.lit(1.0)) for c in counts)))})
     hist = F.transform(F.sequence(F.lit(1), F.lit(len(common))), lambda k: F.size("_q_common") - F.size(F.array_remove("_q_common", k)))
     df = df.withColumn("_q_hist", hist)
     known = F.coalesce(F.col(lang).isin(list(rules.references)), F.lit(False))
@@ -175,7 +175,7 @@ def divergences(docs: DataFrame, rules: QualityRules, text: str = "text", lang:
     compared = F.filter(references, lambda r: ~known | (r["lang"] == F.col(lang)))
     by_char = F.transform(compared, lambda r: _distance(F.col("_q_shares"), r["chars"]))
     by_word = F.transform(
-        compared, lambda r: _distance(_with_rest(F.transform(r["at"], lambda k: F.get("_q_hist", k) / n)), r["words"])
+        compared, lambda r: _distance(_with_rest(F.transform(r["at"], lambda k: F.get("_q_hist", k) / F.greatest(n, F.lit(1)))), r["words"])
     )
     return df.withColumns(
         {
