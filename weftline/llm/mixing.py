@@ -56,7 +56,7 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float,
 def _chances(df: DataFrame, most: float) -> DataFrame:
     """Add whole copies and the place in the sampling order to drawn rows that know their source's figures."""
     ratio = F.when(F.col("_m_total") > 0, F.col("target") / F.col("_m_total")).otherwise(0.0)
-    expected = F.least(F.lit(float(most)), ratio * F.col("_m_favour") / F.col("_m_mean"))
+    expected = F.least(F.lit(float(most)), F.coalesce(F.col("_m_scale") * F.col("_m_favour"), F.lit(float(most))))
     whole = F.floor(expected)
     df = df.withColumns({"_m_whole": F.least(whole, F.lit(int(most))), "_m_chance": expected - whole})
 
@@ -69,6 +69,22 @@ def _chances(df: DataFrame, most: float) -> DataFrame:
     return df.withColumn("_m_order", rank / (1 + rank))
 
 
+def _scales(rows: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """Per source the factor of the favour with which expected copies, at most ``most``, add up to the target.
+
+    By falling favour, documents are full at ``most`` up to some favour; the factor is that of the first one that it
+    leaves below. No row for a source all of whose documents are full.
+    """
+    kinds = rows.groupBy("_m_source", "_m_favour").agg(F.sum("_m_size").alias("_words"))
+    kinds = kinds.join(targets.select("_m_source", "target"), "_m_source")
+    order = Window.partitionBy("_m_source").orderBy(F.col("_m_favour").desc())
+    full = F.coalesce(F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    rest = F.sum(F.col("_m_favour") * F.col("_words")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    kinds = kinds.withColumn("_scale", F.try_divide(F.col("target") - full, rest))
+    fits = F.col("_scale") * F.col("_m_favour") <= most * (1 + 1e-12)
+    return kinds.filter(fits).groupBy("_m_source").agg(F.max_by("_scale", "_m_favour").alias("_m_scale"))
+
+
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
     small = plan.count() <= BROADCAST_SOURCES
     return rows.join(F.broadcast(plan) if small else plan, "_m_source")
@@ -88,8 +104,9 @@ def mix(
     """``docs`` with size, source_size, target and copies, the number of times the mix takes the row (0 to ``most``).
 
     ``share`` times the words of all documents is dealt to the sources, in the order of their names with null last,
-    by the repeating ``weights``, none getting over ``most`` times its own words. A document is expected so many
-    times as its source's target is of its size, in proportion to ``favour`` of its size. The whole part is certain.
+    by the repeating ``weights``, none getting over ``most`` times its own words. How often a document is expected
+    is in proportion to ``favour`` of its size, at most ``most``, and so that its source's target is met. The whole part
+    is certain.
     The rest of the target is filled in Pareto order, random odds over inclusion odds, up to the document whose
     middle crosses it; so the words taken miss the target by half a document at most.
 
@@ -101,12 +118,9 @@ def mix(
     size = word_count() if size is None else size
     drawn = _drawn(docs, size, favour, seed, doc_id, source)
     rows = cut(drawn.select(F.col(source).alias("source"), "_m_source", "_m_size", "_m_favour", "_m_key", "_m_uniform"))
-    words = F.sum("_m_size")
-    totals = rows.groupBy("_m_source", "source").agg(
-        words.alias("_m_total"),
-        F.coalesce(F.sum(F.col("_m_favour") * F.col("_m_size")) / F.nullif(words, F.lit(0)), F.lit(1.0)).alias("_m_mean"),
-    )
+    totals = rows.groupBy("_m_source", "source").agg(F.sum("_m_size").alias("_m_total"))
     targets = cut(source_targets(totals, weights, share, float(most)).drop("source"))
+    targets = cut(targets.join(_scales(rows, targets, float(most)), "_m_source", "left"))
     ends = _ends(_chances(_joined(rows.drop("source"), targets), most), most)
     plan = cut(targets.join(ends, "_m_source", "left"))
     placed = _chances(_joined(drawn, plan), most)
