@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.pieces import count_tokens
+from weftline.plans.lineage import cut
 
 #: Lengths that share a bin of the suffix sums.
 BIN = 1024
@@ -25,7 +26,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     docs_over and tokens_over are the number of longer documents and their lengths; truncated_total is the sum of all
     lengths cut to n_tokens. Sums run inside bins of lengths, and over one row per bin for what lies beyond.
     """
-    df = histogram.withColumns({"_bin": F.floor(F.col("n_tokens") / BIN), "_tokens": F.col("n_tokens") * F.col("n_docs")})
+    df = cut(histogram).withColumns({"_bin": F.floor(F.col("n_tokens") / BIN), "_tokens": F.col("n_tokens") * F.col("n_docs")})
     bins = df.groupBy("_bin").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     beyond = Window.orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
