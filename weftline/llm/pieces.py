@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,11 @@ def chunks(text: str) -> list[str]:
 
 def segment(sp: sentencepiece.SentencePieceProcessor, distinct: list[str]) -> dict[str, bytes]:
     """Ids of every chunk as little-endian 32-bit numbers."""
+    found = sp.encode(distinct, num_threads=1) if distinct else []
+    ends = np.cumsum([0, *map(len, found)]) * 4
+    raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+    table = {c: raw[a:b] for c, a, b in zip(distinct, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
     # A lone marker; the library takes the empty text for no text at all.
-    table = {c: np.array(ids, "<u4").tobytes() for c, ids in zip(distinct, sp.encode(distinct, num_threads=1), strict=True)} if distinct else {}
     if "" in table:
         table[""] = np.array([sp.piece_to_id(MARKER)], "<u4").tobytes()
     return table
@@ -105,30 +109,31 @@ def _known(docs: DataFrame, model: str, text: str):
     return docs.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["ids"]) for r in rows})
 
 
-class Table(dict):
-    """A dictionary that starts as ``known`` and forgets what it has learnt once that is too much."""
+class Table:
+    """Entries that start as ``known``, grow with what is met, and shrink back once that is too much."""
 
     def __init__(self, known: dict):
-        super().__init__(known)
-        self.known = known
+        self.known, self.entries = known, dict(known)
 
     def learn(self, runs: list[list], made) -> None:
         """Have an entry for everything in ``runs``; ``made`` gives the entries of a list of distinct new keys."""
-        if len(self) > len(self.known) + TABLE_CHUNKS:
-            self.clear()
-            self.update(self.known)
+        if len(self.entries) > len(self.known) + TABLE_CHUNKS:
+            self.entries = dict(self.known)
         new: set = set()
         for run in runs:
-            new.update(set(run).difference(self))
+            new.update(set(run).difference(self.entries))
         if new:
-            self.update(made(list(new)))
+            self.entries.update(made(list(new)))
+
+    def joined(self, separator, run: list):
+        return separator.join(map(self.entries.__getitem__, run))
 
 
 def _ids_by_text(sp: sentencepiece.SentencePieceProcessor, table: Table, texts: list[str | None]) -> list[bytes]:
     """Ids of every text; chunks that aren't in the table are segmented once for all these texts."""
     cut_up = [chunks(t or "") for t in texts]
     table.learn(cut_up, lambda new: segment(sp, new))
-    return [b"".join(map(table.__getitem__, c)) for c in cut_up]
+    return [table.joined(b"", c) for c in cut_up]
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True) -> DataFrame:
@@ -199,8 +204,16 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
         marked = np.array([sp.id_to_piece(i)[:1] == MARKER for i in pieces])
         control = np.array([sp.is_control(i) for i in pieces])
 
+        # Pieces that stand for their own characters; bytes and unknown ones are left to the library.
+        own = [None if sp.is_byte(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(MARKER, " ") for i in pieces]
+
+        def text_of(run: bytes) -> str:
+            ids = np.frombuffer(run, "<i4").tolist()
+            parts = [own[i] for i in ids]
+            return sp.decode(ids) if None in parts else "".join(parts).removeprefix(" ")
+
         def made(new: list[bytes]) -> dict[bytes, str]:
-            return dict(zip(new, sp.decode([np.frombuffer(run, "<i4").tolist() for run in new], num_threads=1), strict=True))
+            return {run: text_of(run) for run in new}
 
         table = Table({})
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -215,7 +228,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
                 at = (np.flatnonzero(marked[values[1:]]) * 4 + 4).tolist()
                 cut_up.append([raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True)] if raw else [])
             table.learn([runs for runs in cut_up if runs], made)
-            texts = [None if runs is None else " ".join(map(table.__getitem__, runs)) for runs in cut_up]
+            texts = [None if runs is None else table.joined(" ", runs) for runs in cut_up]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, text])
 
     return docs.mapInArrow(decoded, schema)
