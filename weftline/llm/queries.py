@@ -11,6 +11,7 @@ import corpus_pipeline
 from weftline.llm import embeddings, neardup, pieces
 from weftline.llm.lengths import length_histogram, suffix_sums
 from weftline.llm.licenses import scan_licenses
+from weftline.llm.oracles import SQL  # noqa: F401
 from weftline.llm.mixing import mix, word_count
 from weftline.llm.pseudonyms import pseudonymise
 from weftline.llm.quality import quality
@@ -87,5 +88,3 @@ QUERIES: dict[str, Query] = {
     "op10_pseudonyms": op10_pseudonyms,
     "pipeline": corpus_pipeline.run,
 }
-
-SQL: dict[str, str] = {}
