@@ -20,11 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows without an id or a text stay."""
-    found = neardup.near_duplicates(docs)
-    dropped = found.filter(~F.col("kept")).select("doc_id", F.col("text_md5").alias("_md5")).distinct()
+    found = cut(neardup.near_duplicates(docs))
+    named = found.filter("doc_id is not null and text_md5 is not null")
+    first = named.filter("kept").groupBy("class_id").agg(F.min("text_md5").alias("_first"))
+    dropped = named.join(first, "class_id").filter(~F.col("kept") | (F.col("text_md5") != F.col("_first")))
+    dropped = dropped.select("doc_id", F.col("text_md5").alias("_md5")).distinct()
     left = docs.select(*COLUMNS, F.md5("text").alias("_md5")).join(dropped, ["doc_id", "_md5"], "left_anti")
+    # Rows that repeat are one document; those without an id or a text are each their own.
     alone = F.col("doc_id").isNull() | F.col("_md5").isNull()
-    return left.filter(~alone).dropDuplicates(["doc_id"]).unionByName(left.filter(alone)).select(COLUMNS)
+    left = left.withColumn("_row", F.when(alone, F.monotonically_increasing_id()).otherwise(-1))
+    return left.dropDuplicates(["doc_id", "_md5", "_row"]).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
