@@ -7,10 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.vectors import cosine
+
+#: Stories that are compared as one array, and parts that articles are dealt out to so that no array meets them all.
+STORIES, PARTS = 1024, 64
+
 
 @dataclass(frozen=True)
 class Block:
-    """Columns that must be equal, the order of a row's candidates ``b``, and how many of them count."""
+    """Columns that must be equal, the order of candidates ``b`` by their own columns, and how many of them count."""
 
     keys: tuple[str, ...]
     order: tuple[Column, ...]
@@ -26,6 +31,9 @@ def candidates(left: DataFrame, right: DataFrame, row_id: str, blocks: list[Bloc
     for number, block in enumerate(blocks, 1):
         a = left.select(F.col(row_id).alias("a"), *block.keys)
         b = right.withColumnRenamed(row_id, "b")
+        # The order is the candidates' own, so the first of a key, and one in case a row meets itself, are all it takes.
+        within = Window.partitionBy(*block.keys).orderBy(*block.order)
+        b = b.withColumn("n", F.row_number().over(within)).filter(F.col("n") <= block.most + 1).drop("n")
         order = Window.partitionBy("a").orderBy(*block.order)
         met = a.join(b, list(block.keys)).filter("a <> b").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= block.most)
         found.append(met.select("a", "b", F.lit(number).alias("block"), "n"))
@@ -35,3 +43,22 @@ def candidates(left: DataFrame, right: DataFrame, row_id: str, blocks: list[Bloc
     once = union.groupBy("a", "b").agg(F.min(F.struct("block", "n")).alias("place"))
     order = Window.partitionBy("a").orderBy("place", "b")
     return once.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= cap).select("a", "b", F.col("place.block").alias("block"), "k")
+
+
+def nearest(articles: DataFrame, stories: DataFrame, k: int, article: str = "article", story: str = "story_id", vector: str = "embedding", centroid: str = "centroid") -> DataFrame:
+    """(article, story, n, sim, margin) of the ``k`` stories most similar to each article, the next one's lead as margin.
+
+    Exact: all articles meet all stories, in arrays of about ``STORIES``. Every array is sent to ``PARTS`` parts of the
+    articles, and per article only the best of an array leave it.
+    """
+    arrays = -(-max(stories.count(), 1) // STORIES)
+    packed = stories.select(F.pmod(F.xxhash64(story), F.lit(arrays)).alias("_array"), F.struct(F.col(story).alias("id"), F.col(centroid).alias("c")).alias("s"))
+    packed = packed.groupBy("_array").agg(F.collect_list("s").alias("s")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = articles.select(F.col(article).alias("article"), F.col(vector).alias("v"), F.pmod(F.xxhash64(article), F.lit(PARTS)).cast("int").alias("_part"))
+    rows = rows.withColumn("_array", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(arrays - 1).cast("long"))))
+    scored = F.transform("s", lambda s: F.struct((-F.round(cosine(F.col("v"), s["c"]), 9)).alias("less"), s["id"].alias("id")))
+    best = rows.join(packed, ["_array", "_part"]).select("article", F.slice(F.array_sort(scored), 1, k + 1).alias("best"))
+    merged = best.groupBy("article").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("s"))
+    top = merged.select("article", "s", F.posexplode(F.slice("s", 1, k)).alias("at", "x"))
+    margin = F.get("s", F.col("at") + 1)["less"] - F.col("x.less")
+    return top.select("article", F.col("x.id").alias(story), (F.col("at") + 1).cast("int").alias("n"), (-F.col("x.less")).alias("sim"), margin.alias("margin"))

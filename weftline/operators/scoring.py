@@ -21,7 +21,7 @@ def hours_between(a: Column, b: Column) -> Column:
 
 def time_score(a: Column, b: Column, hours: float = 72.0) -> Column:
     """1 at the same time, 0 from ``hours`` on; 0.5 if one is missing."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(hours_between(a, b)) / hours), F.lit(0.5))
+    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(hours_between(a, b)) / hours))
 
 
 def told_entities(ids: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline import config
 from weftline.functions import text as T
 from weftline.functions import vectors as V
-from weftline.operators import maintenance, scoring
+from weftline.operators import candidates, maintenance, scoring
 from weftline.plans.registry import query
 from weftline.sources import frames
 from weftline.sources.frames import ARTICLES_SQL, AS_OF, LINKS_SQL, STORIES_SQL, table
@@ -32,31 +32,28 @@ def centroid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v01_v02_v06_similarity", f"WITH {CENTROIDS_SQL} SELECT e.vec_id, round({COSINE_SQL}, 6) AS sim_raw, round(({COSINE_SQL} + 1) / 2, 6) AS sim_unit FROM embeddings e JOIN centroids c USING (label)")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").join(F.broadcast(centroids(spark, sf_dir)), "label")
+    e = table(spark, sf_dir, "embeddings").join(centroids(spark, sf_dir), "label")
     a, b = F.col("embedding"), F.col("c")
     return e.select("vec_id", F.round(V.cosine(a, b), 6).alias("sim_raw"), F.round(V.unit_similarity(a, b), 6).alias("sim_unit"))
 
 
 @query("v04_w05_top_stories", f"WITH {CENTROIDS_SQL}, p AS (SELECT e.vec_id, c.label, round({COSINE_SQL}, 9) AS sim FROM embeddings e, centroids c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS n, sim - lead(sim) OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS margin FROM p) SELECT vec_id, label, CAST(n AS INTEGER) AS n, round(sim, 6) AS sim, round(margin, 6) AS margin FROM r WHERE n <= 3")
 def top_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three most similar stories of every article: vectors meet one array of all centroids, which is small, so
-    nothing is joined or shuffled."""
-    rows = centroids(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("stories"))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(F.broadcast(rows))
-    scored = F.transform("stories", lambda s: F.struct((-F.round(V.cosine(F.col("embedding"), s["c"]), 9)).alias("less"), s["label"].alias("label")))
-    e = e.select("vec_id", F.array_sort(scored).alias("s"))
-    top = e.select("vec_id", "s", F.posexplode(F.slice("s", 1, 3)).alias("k", "x"))
-    following = F.get("s", F.col("k") + 1)["less"]
-    return top.select("vec_id", F.col("x.label").alias("label"), (F.col("k") + 1).cast("int").alias("n"), F.round(-F.col("x.less"), 6).alias("sim"), F.round(following - F.col("x.less"), 6).alias("margin"))
-
-
-@query("v05_j10_pairs", "WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.3 ORDER BY sim DESC, a, b LIMIT 30")
+    """The three most similar stories of every article, each with its lead over the next."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article"), "embedding")
+    top = candidates.nearest(e, centroids(spark, sf_dir), 3, story="label", centroid="c")
+    return top.select(F.col("article").alias("vec_id"), "label", "n", F.round("sim", 6).alias("sim"), F.round("margin", 6).alias("margin"))
+
+
+@query("v05_j10_pairs", f"""WITH {ARTICLES_SQL}, {LINKS_SQL}, {STORIES_SQL}, {CENTROIDS_SQL}, s AS (SELECT id, c, CAST(last_article_at AS DATE) AS day FROM stories JOIN centroids ON label = id)
+SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.c, b.c), 6) AS sim FROM s a JOIN s b ON a.day = b.day AND a.id < b.id WHERE list_cosine_similarity(a.c, b.c) >= 0 ORDER BY list_cosine_similarity(a.c, b.c) DESC, 1, 2 LIMIT 30""")
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar pairs of one story, for review; the limit is the report's."""
-    n = table(spark, sf_dir, "embeddings")
-    b = n.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("w"))
-    p = n.select(F.col("vec_id").alias("a"), "label", "embedding").join(b, "label").filter("a < b").withColumn("sim", V.cosine(F.col("embedding"), F.col("w")))
-    return p.filter("sim >= 0.3").orderBy(F.col("sim").desc(), "a", "b").limit(30).select("a", "b", F.round("sim", 6).alias("sim"))
+    """Similar stories that were last active on one day, for review; the limit is the report's."""
+    s = frames.stories(spark, sf_dir).join(centroids(spark, sf_dir).withColumnRenamed("label", "id"), "id")
+    s = s.select("id", "c", F.to_date("last_article_at").alias("day"))
+    other = s.select(F.col("id").alias("b"), F.col("c").alias("w"), "day")
+    p = s.join(other, "day").filter("id < b").withColumn("sim", V.cosine(F.col("c"), F.col("w")))
+    return p.filter("sim >= 0").orderBy(F.col("sim").desc(), "id", "b").limit(30).select(F.col("id").alias("a"), "b", F.round("sim", 6).alias("sim"))
 
 
 @query("v07_d09_running_mean", "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS first, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS second, CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY 1")
@@ -89,11 +86,7 @@ def json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedded article against every story: components and total of the hybrid score.
-
-    Stories are few against articles and hold one row each; their frame is what a deployment bounds by its candidate
-    blocks.
-    """
+    """Every embedded article against its three nearest stories: components and total of the hybrid score."""
     a = frames.articles(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id"))
     a = a.select(
         F.col("id").alias("article"), F.col("title").alias("a_title"), F.col("published_at").alias("a_published_at"), F.col("source_domain").alias("a_domain"),
@@ -103,14 +96,14 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("title", "article_id").alias("s_title"), F.max("published_at").alias("s_last_at"), F.min_by("source_domain", "article_id").alias("s_domain")
     )
     s = heads.join(centroids(spark, sf_dir).withColumnRenamed("label", "story_id"), "story_id").withColumn("s_entities", F.array_distinct(T.tokens(F.col("s_title"), 4)))
-    pairs = a.join(F.broadcast(s)).withColumn("sim", V.cosine(F.col("embedding"), F.col("c")))
-    return scoring.hybrid_scores(pairs.drop("embedding", "c"))
+    near = candidates.nearest(a, s, 3, centroid="c").drop("n")
+    return scoring.hybrid_scores(a.drop("embedding").join(near, "article").join(s.drop("c"), "story_id"))
 
 
 PAIRS_SQL = f"""{ARTICLES_SQL}, {LINKS_SQL}, {CENTROIDS_SQL},
   heads AS (SELECT l.story_id, arg_min(a.title, a.id) AS s_title, max(a.published_at) AS s_last_at, arg_min(a.source_domain, a.id) AS s_domain FROM links l JOIN articles a ON a.id = l.article_id GROUP BY 1),
-  p AS (SELECT a.id AS article, h.story_id, {COSINE_SQL} AS sim, epoch(a.published_at - h.s_last_at) / 3600 AS hours, a.lang = 'fr' AS opinion, a.source_domain = h.s_domain AS outlet, {WORDS_SQL.format('a.title')} AS x, {WORDS_SQL.format('h.s_title')} AS y,
-    list_filter(string_split({{norm_a}}, ' '), lambda w: w <> '') AS ta, list_filter(string_split({{norm_s}}, ' '), lambda w: w <> '') AS ts FROM articles a JOIN embeddings e ON e.vec_id = a.id, heads h JOIN centroids c ON c.label = h.story_id),
+  p AS (SELECT a.id AS article, h.story_id, round({COSINE_SQL}, 9) AS sim, epoch(a.published_at - h.s_last_at) / 3600 AS hours, a.lang = 'fr' AS opinion, a.source_domain = h.s_domain AS outlet, {WORDS_SQL.format('a.title')} AS x, {WORDS_SQL.format('h.s_title')} AS y,
+    list_filter(string_split({{norm_a}}, ' '), lambda w: w <> '') AS ta, list_filter(string_split({{norm_s}}, ' '), lambda w: w <> '') AS ts FROM articles a JOIN embeddings e ON e.vec_id = a.id, heads h JOIN centroids c ON c.label = h.story_id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({COSINE_SQL}, 9) DESC, h.story_id) <= 3),
   q AS (SELECT *, list_transform(list_sort(list_distinct(ta)), lambda t: {{{{'n': len(list_filter(ta, lambda w: w = t)), 'm': len(list_filter(ts, lambda w: w = t))}}}}) AS ca, list_transform(list_sort(list_distinct(ts)), lambda t: {{{{'n': len(list_filter(ts, lambda w: w = t)), 'm': len(list_filter(ta, lambda w: w = t))}}}}) AS cs FROM p),
   r AS (SELECT *, COALESCE(list_sum(list_transform(ca, lambda z: z.n * z.m * power(1 + ln(2.0 / 3), 2))), 0) AS dot, sqrt(COALESCE(list_sum(list_transform(ca, lambda z: power(z.n * CASE WHEN z.m > 0 THEN 1 + ln(2.0 / 3) ELSE 1 END, 2))), 0)) * sqrt(COALESCE(list_sum(list_transform(cs, lambda z: power(z.n * CASE WHEN z.m > 0 THEN 1 + ln(2.0 / 3) ELSE 1 END, 2))), 0)) AS size FROM q),
   c2 AS (SELECT *, CASE WHEN size > 0 THEN least(1, dot / size) ELSE 0 END AS title_score, CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END AS entity_score, len(list_intersect(x, y)) AS shared, greatest(0, 1 - abs(hours) / 72) AS time_score FROM r),
@@ -133,9 +126,8 @@ SELECT article, story_id, guardrail, CASE WHEN guardrail AND total >= threshold
   concat_ws(',', CASE WHEN NOT guardrail THEN 'guardrail' END, CASE WHEN h > 72 THEN 'time' END, CASE WHEN sim < 0.1 THEN 'embed' END, CASE WHEN NOT (shared > 0 OR title_score > 0) THEN 'corroboration' END, CASE WHEN margin < 0.02 THEN 'margin' END) AS blocked_by FROM g""")
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision about every article against the stories as they stand, with the gates that block it."""
-    pairs = scored_pairs(spark, sf_dir).withColumn("sim9", F.round("sim", 9))
-    by_sim = Window.partitionBy("article").orderBy(F.col("sim9").desc(), "story_id")
-    best = pairs.withColumns({"n": F.row_number().over(by_sim), "margin": F.col("sim9") - F.lead("sim9").over(by_sim)}).filter("n = 1")
+    by_sim = Window.partitionBy("article").orderBy(F.col("sim").desc(), "story_id")
+    best = scored_pairs(spark, sf_dir).withColumn("n", F.row_number().over(by_sim)).filter("n = 1")
     best = best.withColumns(
         {
             "threshold": scoring.threshold(F.col("a_domain"), F.col("opinion"), F.lit(False), LOW),
@@ -167,11 +159,12 @@ def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "source_count", "merged_into", F.date_format("first_seen_at", "yyyy-MM-dd HH").alias("first_seen"))
 
 
-@query("c22_a32_c23_merge_lanes", """WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.label, list_cosine_similarity(a.v, b.v) AS sim FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT label, round(median(round(sim, 9)), 6) AS coherence, median(round(sim, 9)) < 0.5 AS split, CAST(count(*) FILTER (WHERE sim >= 0.25) AS BIGINT) AS close_pairs FROM p GROUP BY 1""")
+@query("c22_a32_c23_merge_lanes", """WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('7|' || vec_id), vec_id) <= 20), p AS (SELECT a.label, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT label, round(median(sim), 6) AS coherence, median(sim) < 0.5 AS split, CAST(count(*) FILTER (WHERE sim >= 0.25) AS BIGINT) AS close_pairs FROM p GROUP BY 1""")
 def merge_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coherence of every story, the median cosine of its pairs, whether it should be split, and its close pairs."""
-    n = table(spark, sf_dir, "embeddings")
+    """Coherence of every story, the median cosine of the pairs of a seeded sample of 20, and whether to split it."""
+    draw = Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit("7|"), F.col("vec_id").cast("string"))), "vec_id")
+    n = table(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(draw)).filter("k <= 20")
     b = n.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("w"))
     p = n.join(b, "label").filter("vec_id < b").select("label", F.round(V.cosine(F.col("embedding"), F.col("w")), 9).alias("sim"))
     middle = F.percentile("sim", 0.5)

@@ -84,12 +84,12 @@ def claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.claim(frames.jobs(spark, sf_dir), QUEUE_TIME, per_type=3).select("id", "job_type", "attempts")
 
 
-@query("c30_c31_d07_finish", f"""WITH {JOBS_SQL}, x AS (SELECT id, job_type, attempts, CASE WHEN status = 'processing' AND started_at < TIMESTAMP '{QUEUE_TIME}' - INTERVAL 30 MINUTE THEN 'pending' ELSE status END AS status0, id % 13 = 0 AS failed, id % 13 < 2 AS reported FROM jobs)
+@query("c30_c31_d07_finish", f"""WITH {JOBS_SQL}, x AS (SELECT id, job_type, attempts, CASE WHEN status = 'processing' AND started_at < TIMESTAMP '{QUEUE_TIME}' - INTERVAL 30 MINUTE THEN 'pending' ELSE status END AS status0, attempts > 2 AS failed, status = 'processing' AND job_type <> 'view' AS reported FROM jobs)
 SELECT id, CASE WHEN reported AND NOT failed THEN 'done' WHEN reported AND attempts >= 4 THEN 'failed' WHEN reported THEN 'pending' ELSE status0 END AS status,
   CASE WHEN reported AND failed AND attempts < 4 THEN CAST(power(2, least(attempts, 10)) AS INTEGER) ELSE 0 END AS wait_minutes FROM x""")
 def finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = queue.reset_stuck(frames.jobs(spark, sf_dir), QUEUE_TIME)
-    done = jobs.filter("id % 13 < 2").select("id", (F.col("id") % 13 != 0).alias("ok"))
+    done = frames.jobs(spark, sf_dir).filter("status = 'processing' and job_type <> 'view'").select("id", (F.col("attempts") <= 2).alias("ok"))
     after = queue.finish(jobs.withColumn("run_at", F.lit(None).cast("timestamp_ntz")), done, QUEUE_TIME)
     minutes = (F.unix_micros(F.col("run_at").cast("timestamp")) - F.unix_micros(F.lit(QUEUE_TIME).cast("timestamp"))) / 60_000_000
     return after.select("id", "status", F.coalesce(minutes, F.lit(0)).cast("int").alias("wait_minutes"))
