@@ -25,8 +25,10 @@ from weftline.plans.lineage import cut
 
 MARKER = "▁"
 #: The table holds at most so many chunks, none of them longer than so many characters: it fits every worker.
-TABLE_CHUNKS = 1 << 17
+TABLE_CHUNKS = 1 << 18
 CHUNK_CHARS = 64
+#: What a task learns beside the table, before it starts anew.
+LEARNT = 1 << 17
 #: Rows whose texts are handled together in a worker.
 ROWS = 1024
 _CHUNK = re.compile(" +[^ ]*")
@@ -117,7 +119,7 @@ class Table:
 
     def learn(self, runs: list[list], made) -> None:
         """Have an entry for everything in ``runs``; ``made`` gives the entries of a list of distinct new keys."""
-        if len(self.entries) > len(self.known) + TABLE_CHUNKS:
+        if len(self.entries) > len(self.known) + LEARNT:
             self.entries = dict(self.known)
         new: set = set()
         for run in runs:
