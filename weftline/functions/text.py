@@ -225,3 +225,48 @@ def stem(t: Column) -> Column:
 def search_vector(c: Column) -> Column:
     """Distinct stems of a text's words."""
     return F.array_distinct(F.transform(tokens(c), stem))
+
+
+def first_pattern(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first pattern, in order, that the lower-case text has."""
+    low = F.lower(c)
+    return F.coalesce(*(F.when(low.rlike(p), F.lit(name)) for p, name in table))
+
+
+def possessive(c: Column) -> Column:
+    """The capitalised name before the first possessive, as a fallback for an actor."""
+    return F.nullif(F.regexp_extract(c, r"([A-Z][a-z]+(?: [A-Z][a-z]+)?)['’]s ", 1), F.lit(""))
+
+
+def display_name(code: Column) -> Column:
+    """US-JOHN-SMITH as John Smith."""
+    return F.initcap(F.replace(F.regexp_replace(code, "^[A-Z]{2,3}-", ""), F.lit("-"), F.lit(" ")))
+
+
+def section(c: Column, start: str, end: str) -> Column:
+    """What stands between the first ``start`` and the next ``end``, or the end of the text."""
+    found = F.regexp_extract(c, f"(?s){start}(.*?)(?:{end}|$)", 1)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
+def without_starter(c: Column, starters: tuple[str, ...]) -> Column:
+    """The text without a banned first phrase, its new first letter in upper case."""
+    rest = F.regexp_replace(c, "^(?i:" + "|".join(starters) + r")[,:]?\s+", "")
+    return F.when(rest != c, F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1_000_000_000))).otherwise(c)
+
+
+def quotes(c: Column, characters: int = 12, words: int = 12) -> Column:
+    """Texts in double quotes that are long enough to be a statement, lower case."""
+    found = F.transform(F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1)), lambda q: F.trim(F.lower(q)))
+    return F.filter(found, lambda q: (F.length(q) >= characters) & (F.size(F.split(q, r"\s+")) >= words))
+
+
+def acronyms(c: Column, excluded: tuple[str, ...] = ("US", "USA")) -> Column:
+    """Words of three to six capitals in the text as it is written."""
+    found = F.regexp_extract_all(c, F.lit(r"(?:^|[^A-Za-z])([A-Z]{3,6})(?![A-Za-z])"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda a: ~a.isin(*excluded)))
+
+
+def repeated_overlap(a: Column, b: Column) -> Column:
+    """How many of ``a``'s words, each time it stands there, are in ``b``."""
+    return F.size(F.filter(a, lambda w: F.array_contains(b, w)))

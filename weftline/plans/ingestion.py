@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import relevance, upsert
+from weftline.plans.lineage import checkpoint_dir
 from weftline.plans.registry import query
 from weftline.sources import feeds, frames
 from weftline.sources.frames import ARTICLES_SQL, table
@@ -88,3 +91,50 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "turn", F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("text")).alias("part"))))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.md5(F.array_join(F.transform(parts, lambda x: x["part"]), "\n")).alias("document"), F.max(evidence).alias("evidence"))
     return c
+
+
+@query("s01_s04_feed_items", f"WITH {ARTICLES_SQL} SELECT trim(title) AS title, 'http://' || source_domain || '/' || id AS link, 'g' || id AS guid, source_name AS author FROM articles WHERE trim(title) <> ''")
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written as feed items and read back as a feed reader does."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    a = frames.articles(spark, sf_dir).filter(F.trim("title") != "")
+    guid = F.struct(F.concat(F.lit("g"), F.col("id").cast("string")).alias("_VALUE"), F.lit("false").alias("_isPermaLink"))
+    a.select("title", F.concat(F.lit("http://"), "source_domain", F.lit("/"), F.col("id").cast("string")).alias("link"), guid.alias("guid"), F.col("source_name").alias("creator")).write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+    return feeds.read_items(spark, path).select("title", "link", "guid", "author")
+
+
+@query("s22_s23_csv", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    feeds.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return feeds.read_csv(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@query("c29_undo", "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7) THEN 'was' ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7) THEN 'priority' END AS undone FROM orders")
+def undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after their last change is undone; changes are made of their lines."""
+    from weftline.operators.admin import undo_last
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    history = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select(F.col("l_orderkey").alias("id"), F.lit("priority").alias("field"), F.lit("was").alias("old_value"), F.col("l_shipdate").alias("changed_at"), F.col("l_linenumber").alias("change"))
+    return undo_last(rows, history, ["priority"])
+
+
+@query("z12_z13_corrections", "SELECT c_custkey, c_acctbal >= 0 AS active FROM customer")
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.operators.admin import withdraw
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("token"), F.lit(True).alias("active"), "c_acctbal")
+    shown = c.filter("c_acctbal < 0").select("token")
+    return withdraw(c, shown.union(shown)).select("c_custkey", "active")
+
+
+@query("d14_display_rows", """SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, CAST(CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS INTEGER) AS alarm FROM orders
+  UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name, CAST(CASE WHEN p_size > 0 THEN p_size % 6 ELSE 2 END AS INTEGER) FROM part UNION ALL SELECT 'page', CAST(page_id AS VARCHAR), url, 2 FROM pages""")
+def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of different tables in one display schema."""
+    as_text = lambda c: F.col(c).cast("string").alias("id")
+    orders = table(spark, sf_dir, "orders").select(F.lit("order").alias("kind"), as_text("o_orderkey"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", 4).otherwise(3).alias("alarm"))
+    parts = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), as_text("p_partkey"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 0, F.col("p_size") % 6).otherwise(2).cast("int").alias("alarm"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), as_text("page_id"), F.col("url").alias("title"), F.lit(2).alias("alarm"))
+    return orders.unionByName(parts).unionByName(pages)

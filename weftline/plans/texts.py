@@ -199,3 +199,25 @@ def alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     level = F.col("event_id") % 6
     return table(spark, sf_dir, "events").select("event_id", alarm_level(level, F.col("event_type"), {"error": 4, "purchase": 3}).alias("alarm"), F.round(call_cost(F.col("value"), F.col("value")), 12).alias("cost"))
+
+
+ACTORS = ((r"\bthe\b", "EN-THE"), (r"\bder\b", "DE-DER"), (r"\bles\b", "FR-LES"), (r"\blos\b", "ES-LOS"))
+ACTORS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{name}'" for p, name in ACTORS) + " END"
+
+
+@query("f17_f19_f25_f35_extracts", f"""SELECT doc_id, {ACTORS_SQL} AS actor, md5(nullif(trim(regexp_extract(text, '(?s)\\n(.*?)(?:\\n|$)', 1)), '')) AS second_line, md5(regexp_replace(text, '^(?i:the|de|der|en)[,:]?\\s+', '')) <> md5(text) AS starts_badly,
+  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z]{{3,6}})(?:[^A-Za-z]|$)', 1), lambda a: a <> 'USA'))), ' ') AS acronyms FROM documents""")
+def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    caps = F.regexp_extract_all("text", F.lit("(?:^|[^A-Za-z])([A-Z]{3,6})(?:[^A-Za-z]|$)"), F.lit(1))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.first_pattern(c, ACTORS).alias("actor"), F.md5(T.section(c, r"\n", r"\n")).alias("second_line"), (T.without_starter(c, ("the", "de", "der", "en")) != c).alias("starts_badly"),
+        F.array_join(F.array_sort(F.array_distinct(F.filter(caps, lambda a: a != "USA"))), " ").alias("acronyms"),
+    )
+
+
+@query("f18_f23_f30_f36_labels", f"""WITH {ARTICLES_SQL}, t AS (SELECT id, content, list_filter(string_split({NORM}, ' '), lambda w: w <> '') AS w FROM articles)
+SELECT id, CAST(len(list_filter(w, lambda x: list_contains(['the', 'of', 'de', 'la', 'und'], x))) AS INTEGER) AS common_words, CAST(len(list_filter(regexp_extract_all(content, '"([^"]+)"', 1), lambda q: length(trim(q)) >= 12)) AS INTEGER) AS quotes FROM t""")
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = F.array(*map(F.lit, ["the", "of", "de", "la", "und"]))
+    return frames.articles(spark, sf_dir).select("id", T.repeated_overlap(T.tokens(F.col("title")), common).alias("common_words"), F.size(T.quotes(F.col("content"), 12, 1)).alias("quotes"))
