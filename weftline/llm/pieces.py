@@ -25,7 +25,7 @@ from weftline.plans.lineage import cut
 
 MARKER = "▁"
 #: The table holds at most so many chunks, none of them longer than so many characters: it fits every worker.
-TABLE_CHUNKS = 1 << 18
+TABLE_CHUNKS = 1 << 17
 CHUNK_CHARS = 64
 #: What a task learns beside the table, before it starts anew.
 LEARNT = 1 << 17
@@ -191,46 +191,81 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", ends: bool = T
     return docs.mapInArrow(counted, schema)
 
 
+class PieceTexts:
+    """The bytes that every piece stands for, one after another, with where each begins and how long it is."""
+
+    def __init__(self, sp: sentencepiece.SentencePieceProcessor):
+        self.sp = sp
+        pieces = range(sp.get_piece_size())
+        self.marked = np.array([sp.id_to_piece(i)[:1] == MARKER for i in pieces])
+        self.control = np.array([sp.is_control(i) for i in pieces])
+        parts = [self._bytes(sp, i) for i in pieces]
+        self.high = np.array([sp.is_byte(i) and parts[i] >= b"\x80" for i in pieces])
+        self.sizes = np.array([len(p) for p in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    @staticmethod
+    def _bytes(sp: sentencepiece.SentencePieceProcessor, i: int) -> bytes:
+        if sp.is_control(i):
+            return b""
+        if sp.is_byte(i):
+            return bytes([int(sp.id_to_piece(i)[3:5], 16)])
+        return " \u2047 ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARKER, " ").encode()
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str] | pa.Array:
+        """Texts of the runs of ``ids`` that end before ``ends``; the first marker of a text stands for nothing.
+
+        Bytes from 0x80 on may not make up characters; texts with any are left to the library if they don't.
+        """
+        known = ~self.control[ids]
+        ends = np.concatenate([[0], np.cumsum(known)])[ends]
+        ids = ids[known]
+        begins = np.concatenate([[0], ends[:-1]])
+        starts, sizes = self.starts[ids], self.sizes[ids]
+        first = begins[begins < ends]
+        first = first[self.marked[ids[first]]]
+        starts[first] += 1
+        sizes[first] -= 1
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.data[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
+        offsets = np.concatenate([[0], upto[ends]])
+        doubtful = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(self.high[ids])])[np.concatenate([[0], ends])]))
+        wrong = [k for k in doubtful.tolist() if not _is_text(data[offsets[k] : offsets[k + 1]].tobytes())]
+        if not wrong and offsets[-1] < 2**31:
+            return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        whole = data.tobytes()
+        texts = [None if k in wrong else whole[offsets[k] : offsets[k + 1]].decode() for k in range(len(ends))]
+        for k in wrong:
+            texts[k] = self.sp.decode(ids[begins[k] : ends[k]].tolist())
+        return texts
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with ``text``, as the sentencepiece library decodes ``ids``, an array of int; null ids give a null.
 
-    Ids are cut before every piece that begins with a marker, distinct runs are decoded by a table like that of the
-    chunks, and the texts are joined by position. Ids of control pieces stand for nothing. ``ids`` itself is dropped.
+    Every piece's text is looked up once per task, and the texts of all pieces of a batch are joined by position at
+    once. Ids of control pieces stand for nothing. ``ids`` itself is dropped.
     """
     rest = [c for c in docs.columns if c not in (ids, text)]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(text, T.StringType())])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(model)
-        pieces = range(sp.get_piece_size())
-        marked = np.array([sp.id_to_piece(i)[:1] == MARKER for i in pieces])
-        control = np.array([sp.is_control(i) for i in pieces])
-
-        # Pieces that stand for their own characters; bytes and unknown ones are left to the library.
-        own = [None if sp.is_byte(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(MARKER, " ") for i in pieces]
-
-        def text_of(run: bytes) -> str:
-            ids = np.frombuffer(run, "<i4").tolist()
-            parts = [own[i] for i in ids]
-            return sp.decode(ids) if None in parts else "".join(parts).removeprefix(" ")
-
-        def made(new: list[bytes]) -> dict[bytes, str]:
-            return {run: text_of(run) for run in new}
-
-        table = Table({})
+        pieces = PieceTexts(processor(model))
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            cut_up: list[list[bytes] | None] = []
-            for row in batch.column(ids):
-                if not row.is_valid:
-                    cut_up.append(None)
-                    continue
-                values = row.values.to_numpy(zero_copy_only=False).astype("<i4")
-                values = values[~control[values]]
-                raw = values.tobytes()
-                at = (np.flatnonzero(marked[values[1:]]) * 4 + 4).tolist()
-                cut_up.append([raw[a:b] for a, b in zip([0, *at], [*at, len(raw)], strict=True)] if raw else [])
-            table.learn([runs for runs in cut_up if runs], made)
-            texts = [None if runs is None else table.joined(" ", runs) for runs in cut_up]
+            column = batch.column(ids)
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = pieces.decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+            if column.null_count:
+                texts = [t if ok else None for t, ok in zip(pa.array(texts, pa.string()).to_pylist(), column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, text])
 
     return docs.mapInArrow(decoded, schema)
