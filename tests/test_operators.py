@@ -233,3 +233,25 @@ def test_log_records(spark):
     lines = ['x [M] {"a": 1, "b": "br}ace"} tail', "x [M] {broken", "nothing", "[M] " + json.dumps({"a": 2})]
     found = feeds.json_records(spark.createDataFrame([(x,) for x in lines], "value string"), "[M] ", "a int, b string")
     assert sorted(map(tuple, found.collect()), key=str) == [(1, "br}ace"), (2, None)]
+
+
+def test_same_run_and_anchor(spark):
+    rows = [(0.95, 0.5, None, False, 10.0, True), (0.95, 0.5, 0.01, False, 10.0, False), (0.95, 0.5, 0.01, True, 10.0, True), (0.95, 0.5, 0.01, None, 1.0, True), (0.89, 0.5, None, True, 1.0, False), (0.95, 0.9, None, True, 1.0, False)]
+    frame = spark.createDataFrame(rows, "sim double, total double, margin double, slug boolean, hours double, want boolean")
+    found = scoring.same_run_attach(F.col("sim"), F.col("total"), F.lit(0.7), F.lit(True), F.lit(True), F.col("margin"), F.col("slug"), F.col("hours"))
+    assert all(r[0] == r[1] for r in frame.select(found, "want").collect())
+    times = spark.createDataFrame([(None, "b"), ("a", "b"), (None, None)], "x string, y string").select(scoring.time_anchor(("x", F.col("x")), ("y", F.col("y"))).alias("t"))
+    assert [r["t"] and r["t"]["source"] for r in times.collect()] == ["y", "x", None]
+
+
+def test_undo_and_schema(spark):
+    from weftline.operators import admin
+
+    rows = spark.createDataFrame([(1, "new", 5), (2, "x", 6)], "id long, title string, level int")
+    history = spark.createDataFrame([(1, "title", "old", "2024-01-01", 1), (1, "level", "4", "2024-01-02", 2), (2, "secret", "y", "2024-01-01", 3)], "id long, field string, old_value string, changed_at string, change long")
+    found = {r["id"]: r for r in admin.undo_last(rows, history, ["title", "level"]).collect()}
+    assert (found[1]["title"], found[1]["level"], found[1]["undone"]) == ("new", 4, "level")
+    assert (found[2]["title"], found[2]["undone"]) == ("x", None)
+    assert admin.schema_diff(rows, spark.createDataFrame([], "id long, title int, more string").schema) == {"missing": ["more"], "extra": ["level"], "changed": ["title"]}
+    dates = spark.sql("SELECT date'2024-01-10' p, date'2024-03-01' f, date'2024-02-01' n UNION ALL SELECT date'2024-03-10', NULL, date'2024-02-01' UNION ALL SELECT NULL, NULL, date'2024-02-01'")
+    assert [r[0] for r in dates.select(admin.suspicious(F.col("p"), F.col("f"), F.col("n"))).collect()] == ["differs", "future", "missing"]

@@ -270,3 +270,8 @@ def acronyms(c: Column, excluded: tuple[str, ...] = ("US", "USA")) -> Column:
 def repeated_overlap(a: Column, b: Column) -> Column:
     """How many of ``a``'s words, each time it stands there, are in ``b``."""
     return F.size(F.filter(a, lambda w: F.array_contains(b, w)))
+
+
+def record_hash(record: Column) -> Column:
+    """SHA-256 of a struct as JSON in the order of its fields, null fields left out."""
+    return F.sha2(F.to_json(record), 256)

@@ -160,3 +160,26 @@ def lifecycle(last: Column, as_of: Column) -> Column:
     """emerging, growing, stable or stale by the hours since the last sign of life."""
     hours = hours_between(as_of, last)
     return F.when(hours < 6, "emerging").when(hours < 48, "growing").when(hours < 120, "stable").otherwise("stale")
+
+
+def same_run_attach(sim: Column, total: Column, threshold: Column, guard: Column, same_run: Column, margin: Column, slug: Column, hours: Column, t: config.Thresholds | None = None) -> Column:
+    """A story of the same run attaches below the total's threshold if its embedding is very close and one more sign agrees.
+
+    A single candidate leads by all of its similarity.
+    """
+    t = t or config.Thresholds()
+    sign = (F.coalesce(margin, sim) >= t.margin) | F.coalesce(slug, F.lit(False)) | F.coalesce(hours < 2, F.lit(False))
+    return same_run & (sim >= t.very_high_embedding) & (total < threshold) & guard & sign
+
+
+def time_anchor(*times: tuple[str, Column]) -> Column:
+    """The first known time and its name."""
+    return F.coalesce(*(F.when(c.isNotNull(), F.struct(c.alias("at"), F.lit(name).alias("source"))) for name, c in times))
+
+
+def confident_entities(entities: Column, least: float = 0.70) -> Column:
+    """(id, confidence) of entities with at least ``least``, the greatest per id; a missing confidence counts as sure."""
+    sure = F.transform(entities, lambda e: F.struct(e["id"].alias("id"), F.coalesce(e["confidence"], F.lit(1.0)).alias("confidence")))
+    kept = F.filter(sure, lambda e: (e["confidence"] >= least) & e["id"].isNotNull())
+    ids = F.array_sort(F.array_distinct(F.transform(kept, lambda e: e["id"])))
+    return F.transform(ids, lambda i: F.struct(i.alias("id"), F.array_max(F.transform(F.filter(kept, lambda e: e["id"] == i), lambda e: e["confidence"])).alias("confidence")))

@@ -138,3 +138,28 @@ def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), as_text("p_partkey"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 0, F.col("p_size") % 6).otherwise(2).cast("int").alias("alarm"))
     pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), as_text("page_id"), F.col("url").alias("title"), F.lit(2).alias("alarm"))
     return orders.unionByName(parts).unionByName(pages)
+
+
+@query("f42_d02_v15_records", """SELECT event_id, sha256('{"event_id":' || event_id || CASE WHEN user_id < 100 THEN ',"user_id":' || user_id ELSE '' END || '}') AS payload_hash, CASE WHEN user_id < 50 THEN 'range' WHEN user_id < 100 THEN 'article' ELSE 'created' END AS anchor, CASE WHEN event_type = 'error' THEN 'B' WHEN event_type = 'click' THEN 'A,B' ELSE 'A' END AS entities FROM events""")
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of records without their nulls, the first known time, and entities that are sure enough."""
+    from weftline.functions.text import record_hash
+    from weftline.operators.scoring import confident_entities, time_anchor
+
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    entity = lambda name, sure: F.struct(F.lit(name).alias("id"), sure.cast("double").alias("confidence"))
+    found = F.array(entity("A", F.when(kind == "error", 0.5).otherwise(0.7)), entity("B", F.when(kind == "error", None).when(kind == "click", 0.9).otherwise(0.1)), entity("A", F.lit(0.2)))
+    anchor = time_anchor(("range", F.when(F.col("user_id") < 50, F.col("ts"))), ("article", F.when(F.col("user_id") < 100, F.col("ts"))), ("created", F.col("ts")))
+    return e.select(
+        "event_id", record_hash(F.struct("event_id", F.when(F.col("user_id") < 100, F.col("user_id")).alias("user_id"))).alias("payload_hash"), anchor["source"].alias("anchor"),
+        F.array_join(F.transform(confident_entities(found), lambda x: x["id"]), ",").alias("entities"),
+    )
+
+
+@query("s10_s11_html_rows", """WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<p[^>]*>([^<]*)</p>', 1)) AS cell FROM pages) SELECT page_id, trim(cell) AS cell, substr(sha256(lower(trim(cell)) || '|' || page_id), 1, 16) AS source_key FROM r WHERE trim(cell) <> ''""")
+def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of pages' elements, each with a key made of its text and page."""
+    cells = F.explode(F.regexp_extract_all("html", F.lit("(?i)<p[^>]*>([^<]*)</p>"), F.lit(1)))
+    r = table(spark, sf_dir, "pages").select("page_id", cells.alias("cell")).select("page_id", F.trim("cell").alias("cell")).filter("cell <> ''")
+    return r.withColumn("source_key", F.substring(F.sha2(F.concat_ws("|", F.lower("cell"), F.col("page_id").cast("string")), 256), 1, 16))
