@@ -30,7 +30,9 @@ CHUNK_CHARS = 64
 #: What a task learns beside the table, before it starts anew.
 LEARNT = 1 << 17
 #: Rows whose texts are handled together in a worker.
-ROWS = 1024
+ROWS = 512
+#: Ids that are decoded together in a worker.
+IDS = 1 << 17
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -241,6 +243,13 @@ class PieceTexts:
         return texts
 
 
+def _by_ids(batch: pa.RecordBatch, ids: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``IDS`` ids; a longer row is a part of its own."""
+    upto = np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // IDS)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
 def _is_text(data: bytes) -> bool:
     try:
         data.decode()
@@ -260,7 +269,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceTexts(processor(model))
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in (part for b in batches for part in _by_ids(b, ids)):
             column = batch.column(ids)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             texts = pieces.decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
