@@ -173,6 +173,15 @@ def test_licenses_equal_a_full_comparison(spark, docs, real):
         assert Counter((r["doc_id"], *(r[n] for n in names)) for r in found) == Counter((r["doc_id"], *scan(r["text"])) for r in rows)
 
 
+def test_licenses_count_places_from_the_first_word(spark):
+    texts = ["# MIT License", "(c) MIT License, or the Apache License", "\n mit license", "mit license", " x ", "", None, "...the General Public License. MIT License!"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(frame).collect()}
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert [tuple(found[k][n] for n in names) for k in range(len(texts))] == [scan(t) for t in texts]
+    assert (found[0]["first_word"], found[1]["first_word"], found[1]["last_word"]) == (0, 1, 5)
+
+
 def test_empty_tables(spark, docs):
     empty = docs.limit(0)
     model = tokenizer(spark)

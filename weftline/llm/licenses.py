@@ -124,13 +124,14 @@ def scan_licenses(docs: DataFrame, scan: LicenseScan | None = None, doc_id: str
     places = {}
     for k, (phrase, _) in enumerate(scan.phrases):
         places[f"_p{k}"] = _starts(words, phrase.split())
-    df = df.withColumns(places).drop("_words")
+    # A text that begins between words has an empty first one, which doesn't count as a place.
+    df = df.withColumns({**places, "_before": F.when(words[0] == "", 1).otherwise(0)}).drop("_words")
     at = F.concat(*places)
     labels = [F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(places, scan.phrases, strict=True)]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))
     df = df.select(
         "doc_id", "_text", "n_words", F.size(at).cast("long").alias("n_base"),
-        F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), base.alias("_base"),
+        (F.array_min(at) - F.col("_before")).cast("long").alias("first_word"), (F.array_max(at) - F.col("_before")).cast("long").alias("last_word"), base.alias("_base"),
     )
     # A text that holds no token of any prefix can't hold a block that does.
     near = rows.filter(F.arrays_overlap("_words", F.array(*map(F.lit, prefix)))).drop("_words")
