@@ -255,3 +255,36 @@ def test_undo_and_schema(spark):
     assert admin.schema_diff(rows, spark.createDataFrame([], "id long, title int, more string").schema) == {"missing": ["more"], "extra": ["level"], "changed": ["title"]}
     dates = spark.sql("SELECT date'2024-01-10' p, date'2024-03-01' f, date'2024-02-01' n UNION ALL SELECT date'2024-03-10', NULL, date'2024-02-01' UNION ALL SELECT NULL, NULL, date'2024-02-01'")
     assert [r[0] for r in dates.select(admin.suspicious(F.col("p"), F.col("f"), F.col("n"))).collect()] == ["differs", "future", "missing"]
+
+
+@pytest.mark.parametrize("limits", [{}, {"time": 3, "entity": 4, "ann": 2, "slug": 1, "cap": 7}])
+def test_story_candidates_equal_four_whole_blocks(spark, limits):
+    import datetime
+
+    from weftline.operators import candidates
+
+    t, rng = candidates.Limits(**limits), np.random.default_rng(11)
+    start = datetime.datetime(2024, 1, 10)
+    at = lambda: start + datetime.timedelta(minutes=int(rng.integers(0, 9000)))
+    names = [*"abcdefgh", "US-TRUMP"]
+    some = lambda: [str(x) for x in rng.choice(names, int(rng.integers(0, 4)), replace=False)]
+    stories = [(i, at(), some(), [f"S{x}" for x in rng.integers(0, 6, 2)], rng.normal(size=4).tolist()) for i in range(230)]
+    articles = [(i, at(), some(), f"S{i % 7}" if i % 3 else None, rng.normal(size=4).tolist() if i % 4 else None) for i in range(40)]
+    articles += [(100, stories[0][1] - datetime.timedelta(hours=1), [], None, None), (101, stories[0][1] + datetime.timedelta(hours=72), [], None, None)]
+    a = spark.createDataFrame(articles, "article long, published_at timestamp_ntz, entities array<string>, slug string, embedding array<double>")
+    s = spark.createDataFrame(stories, "story long, last_at timestamp_ntz, entities array<string>, slugs array<string>, centroid array<double>")
+    expected = set()
+    hour, told = datetime.timedelta(hours=1), lambda x: set(x) - {"US-TRUMP"}
+    for i, when, tags, slug, v in articles:
+        new = sorted(stories, key=lambda s: (-s[1].timestamp(), s[0]))
+        sims = sorted((-round(float(np.dot(v, s[4]) / np.linalg.norm(v) / np.linalg.norm(s[4])), 9), s[0]) for s in stories) if v else []
+        lists = [
+            [s[0] for s in new if when - 72 * hour <= s[1] <= when + hour][: t.time], [s[0] for s in new if told(tags) & told(s[2])][: t.entity],
+            [k for sim, k in sims if sim <= 0][: t.ann], [s[0] for s in new if slug in s[3]][: t.slug],
+        ]
+        first = {}
+        for block, ids in enumerate(lists, 1):
+            for story in ids:
+                first.setdefault(story, block)
+        expected |= {(i, story, block, k) for k, (story, block) in enumerate(list(first.items())[: t.cap], 1)}
+    assert {tuple(r) for r in candidates.story_candidates(a, s, t).collect()} == expected

@@ -1,13 +1,15 @@
-"""Blocked candidates: a union of equi-joins, each with its own order and limit per row."""
+"""Blocked candidates: a union of joins, each with its own order and limit per row."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.vectors import cosine
+from weftline.operators.scoring import told_entities
 
 #: Stories that are compared as one array, and parts that articles are dealt out to so that no array meets them all.
 STORIES, PARTS = 1024, 64
@@ -62,3 +64,67 @@ def nearest(articles: DataFrame, stories: DataFrame, k: int, article: str = "art
     top = merged.select("article", "s", F.posexplode(F.slice("s", 1, k)).alias("at", "x"))
     margin = F.get("s", F.col("at") + 1)["less"] - F.col("x.less")
     return top.select("article", F.col("x.id").alias(story), (F.col("at") + 1).cast("int").alias("n"), (-F.col("x.less")).alias("sim"), margin.alias("margin"))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Whole hours of the window around an article, how many stories a block may give it, the least similarity of neighbours, and how many stories count in all."""
+
+    before: int = 72
+    after: int = 1
+    time: int = 100
+    entity: int = 150
+    ann: int = 60
+    slug: int = 20
+    least: float = 0.0
+    cap: int = 200
+
+
+def _first(pairs: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """The ``most`` newest stories per key, by their last article and id."""
+    order = Window.partitionBy(*keys).orderBy(F.col("last_at").desc(), "story")
+    return pairs.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+
+
+def _in_window(articles: DataFrame, stories: DataFrame, limits: Limits) -> DataFrame:
+    """(article, story, last_at) of all stories of the window that can be among an article's newest.
+
+    Articles of one hour share their stories but those of the window's first and last hour, so of what lies before
+    the last hour only the newest count; those of the last hour are all kept and compared exactly.
+    """
+    hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
+    s = stories.filter("last_at is not null").select("story", "last_at", hour("last_at").alias("_at"))
+    early = s.withColumn("_hour", F.explode(F.sequence(F.col("_at") - limits.after + 1, F.col("_at") + limits.before)))
+    early = _first(early, ("_hour",), limits.time).select("_hour", "story", "last_at")
+    late = s.select((F.col("_at") - limits.after).alias("_hour"), "story", "last_at")
+    met = articles.select("article", "published_at", hour("published_at").alias("_hour")).join(early.unionByName(late), "_hour")
+    low, high = F.col("published_at") - F.make_dt_interval(hours=F.lit(limits.before)), F.col("published_at") + F.make_dt_interval(hours=F.lit(limits.after))
+    return met.filter(F.col("last_at").between(low, high)).select("article", "story", "last_at")
+
+
+def _sharing(articles: DataFrame, stories: DataFrame, mine: Column, theirs: Column, most: int) -> DataFrame:
+    """(article, story, last_at), once, of stories that share a value; of each value, the newest are all that can count."""
+    a = articles.select("article", F.explode(F.array_distinct(mine)).alias("_value")).filter("_value is not null")
+    s = stories.select("story", "last_at", F.explode(F.array_distinct(theirs)).alias("_value")).filter("_value is not null")
+    return a.join(_first(s, ("_value",), most).drop("n"), "_value").select("article", "story", "last_at").distinct()
+
+
+def story_candidates(articles: DataFrame, stories: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """(article, story, block, k): the stories that an article is compared with, by four blocks.
+
+    Articles have article, published_at, entities, slug and embedding, active stories story, last_at, entities, slugs
+    and centroid. Blocks are 1 the time window, 2 any shared entity that tells stories apart, 3 the nearest centroids
+    and 4 the slug; each has its limit, newest first (nearest first in 3). A story of several blocks counts once, with
+    the first; earlier blocks come first where the cap is reached.
+    """
+    t = limits or Limits()
+    found = [
+        _first(_in_window(articles, stories, t), ("article",), t.time),
+        _first(_sharing(articles, stories, told_entities(F.col("entities")), told_entities(F.col("entities")), t.entity), ("article",), t.entity),
+        nearest(articles.filter("embedding is not null"), stories.filter("centroid is not null"), t.ann, story="story").filter(F.col("sim") >= t.least),
+        _first(_sharing(articles, stories, F.array("slug"), F.col("slugs"), t.slug), ("article",), t.slug),
+    ]
+    union = reduce(DataFrame.unionByName, [f.select("article", "story", F.lit(k).alias("block"), "n") for k, f in enumerate(found, 1)])
+    once = union.groupBy("article", "story").agg(F.min(F.struct("block", "n")).alias("place"))
+    order = Window.partitionBy("article").orderBy("place", "story")
+    return once.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= t.cap).select("article", "story", F.col("place.block").alias("block"), "k")

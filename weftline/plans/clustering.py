@@ -85,6 +85,36 @@ def json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("built"))
 
 
+def story_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Articles with tags as entities and their first two tags as slug; stories with their commonest tags, slugs and centroids."""
+    tags = F.array_distinct(T.tokens(F.col("title"), 4))
+    a = frames.articles(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") == F.col("vec_id"), "left")
+    slug = F.nullif(F.upper(F.array_join(F.slice(F.array_sort(tags), 1, 2), "-")), F.lit(""))
+    a = a.select(F.col("id").alias("article"), "published_at", tags.alias("entities"), slug.alias("slug"), "embedding")
+    links = frames.links(spark, sf_dir).select("story_id", F.col("article_id"))
+    known = maintenance.recompute(links, a.withColumnRenamed("article", "article_id"))
+    last = links.join(a, F.col("article_id") == F.col("article")).groupBy("story_id").agg(F.max("published_at").alias("last_at"), F.collect_set("slug").alias("slugs"))
+    s = last.join(known, "story_id").select(F.col("story_id").alias("story"), "last_at", F.col("top_entities").alias("entities"), "slugs", "centroid")
+    return a, s
+
+
+@query("v03_story_candidates", f"""WITH {ARTICLES_SQL}, {LINKS_SQL}, t AS (SELECT id, published_at, {WORDS_SQL.format('title')} AS tags FROM articles),
+  a AS (SELECT *, nullif(upper(array_to_string(list_sort(tags)[1:2], '-')), '') AS slug FROM t), m AS (SELECT l.story_id, a.* FROM links l JOIN a ON a.id = l.article_id),
+  s AS (SELECT story_id, max(published_at) AS last_at FROM m GROUP BY 1), slugs AS (SELECT DISTINCT story_id, slug FROM m WHERE slug IS NOT NULL),
+  counts AS (SELECT story_id, tag, count(*) AS c FROM (SELECT story_id, unnest(tags) AS tag FROM m) GROUP BY 1, 2), top AS (SELECT story_id, tag FROM counts QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY c DESC, tag) <= 5),
+  parts AS (SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS k FROM embeddings JOIN documents ON doc_id = vec_id) GROUP BY 1, 2), centroids AS (SELECT label, list(v ORDER BY k) AS c FROM parts GROUP BY 1),
+  met AS (SELECT a.id AS article, s.story_id, 1 AS block, s.last_at, 0 AS less FROM a JOIN s ON s.last_at BETWEEN a.published_at - INTERVAL 72 HOUR AND a.published_at + INTERVAL 1 HOUR
+    UNION ALL SELECT DISTINCT x.id, s.story_id, 2, s.last_at, 0 FROM (SELECT id, unnest(tags) AS tag FROM a) x JOIN top USING (tag) JOIN s USING (story_id)
+    UNION ALL SELECT e.vec_id, c.label, 3, NULL, -round({COSINE_SQL}, 9) FROM embeddings e JOIN documents ON doc_id = vec_id, centroids c WHERE c.label IS NOT NULL
+    UNION ALL SELECT a.id, s.story_id, 4, s.last_at, 0 FROM a JOIN slugs USING (slug) JOIN s USING (story_id)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY article, block ORDER BY less, last_at DESC, story_id) AS n FROM met),
+  d AS (SELECT article, story_id, min(block * 1000 + n) AS place FROM n WHERE n <= CASE block WHEN 1 THEN 100 WHEN 2 THEN 150 WHEN 3 THEN 60 ELSE 20 END AND less <= 0 GROUP BY 1, 2)
+SELECT article, story_id AS story, CAST(place // 1000 AS INTEGER) AS block, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY article ORDER BY place, story_id) AS k FROM d) WHERE k <= 200""")
+def story_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stories that every article is compared with, by the four blocks and the limits of the reference."""
+    return candidates.story_candidates(*story_blocks(spark, sf_dir))
+
+
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedded article against its three nearest stories: components and total of the hybrid score."""
     a = frames.articles(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id"))
