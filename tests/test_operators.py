@@ -288,3 +288,27 @@ def test_story_candidates_equal_four_whole_blocks(spark, limits):
                 first.setdefault(story, block)
         expected |= {(i, story, block, k) for k, (story, block) in enumerate(list(first.items())[: t.cap], 1)}
     assert {tuple(r) for r in candidates.story_candidates(a, s, t).collect()} == expected
+
+
+@pytest.mark.parametrize("most", [30, 5000])
+def test_story_pairs_meet_across_days(spark, monkeypatch, most):
+    import datetime
+
+    from weftline.operators import candidates
+
+    monkeypatch.setattr(candidates, "STORIES", 20)
+    rng, now = np.random.default_rng(5), datetime.datetime(2024, 1, 31)
+    rows = [(i, now - datetime.timedelta(hours=int(rng.integers(0, 220))), [str(x) for x in rng.choice(["a", "b", "c", "d", "US-TRUMP"], 2, replace=False)], [f"S{i % 40}"], rng.normal(size=3).tolist()) for i in range(90)]
+    rows += [(90, now - datetime.timedelta(days=7), ["a"], None, [1.0, 0.0, 0.0]), (91, now, ["US-TRUMP"], [], [1.0, 0.1, 0.0]), (92, now, None, ["S1"], None)]
+    frame = spark.createDataFrame(rows, "story long, first_seen_at timestamp_ntz, entities array<string>, slugs array<string>, centroid array<double>")
+    recent = [r for r in rows if r[4] and r[1] >= now - datetime.timedelta(days=7)]
+    expected = []
+    for x in recent:
+        for y in recent:
+            sim = round(float(np.dot(x[4], y[4]) / np.linalg.norm(x[4]) / np.linalg.norm(y[4])), 9)
+            if x[0] < y[0] and sim >= 0.83:
+                tags, slugs = sorted({*x[2]} & {*y[2]} - {"US-TRUMP"}), sorted({*(x[3] or [])} & {*(y[3] or [])})
+                expected.append((not (tags or slugs), -sim, x[0], y[0], tags, slugs))
+    assert (90, 91) in {e[2:4] for e in expected}
+    found = candidates.story_pairs(frame, F.lit(str(now)).cast("timestamp_ntz"), most=most).collect()
+    assert [(r["a"], r["b"], r["shared_entities"], r["shared_slugs"]) for r in found] == [e[2:] for e in sorted(expected)[:most]]

@@ -128,3 +128,25 @@ def story_candidates(articles: DataFrame, stories: DataFrame, limits: Limits | N
     once = union.groupBy("article", "story").agg(F.min(F.struct("block", "n")).alias("place"))
     order = Window.partitionBy("article").orderBy("place", "story")
     return once.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= t.cap).select("article", "story", F.col("place.block").alias("block"), "k")
+
+
+def story_pairs(stories: DataFrame, as_of: Column, days: int = 7, least: float = 0.83, most: int = 30) -> DataFrame:
+    """(a, b, sim, shared_entities, shared_slugs): pairs of active stories first seen in the last ``days``, with a cosine of ``least`` or more.
+
+    Stories have story, first_seen_at, entities, slugs and centroid. Pairs that share an entity that tells stories
+    apart, or a slug, come first, then the more similar. Exact: every story meets every other, in pairs of blocks of
+    about ``STORIES``; the report's ``most`` pairs are chosen of all.
+    """
+    recent = stories.filter(F.col("centroid").isNotNull() & (F.col("first_seen_at") >= as_of - F.make_dt_interval(days=F.lit(days))))
+    blocks = -(-max(recent.count(), 1) // STORIES)
+    s = recent.withColumn("_block", F.pmod(F.xxhash64("story"), F.lit(blocks))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    none = F.array().cast("array<string>")
+    sides = [
+        s.select(F.col("story").alias(name), F.col("centroid").alias(f"_{name}"), F.coalesce(told_entities(F.col("entities")), none).alias(f"_{name}_entities"),
+                 F.coalesce("slugs", none).alias(f"_{name}_slugs"), F.col(own).alias("_i"), F.col(met).alias("_j"))
+        for name, own, met in (("a", "_block", "_other"), ("b", "_other", "_block"))
+    ]
+    pairs = sides[0].join(sides[1], ["_i", "_j"]).filter("a < b").withColumn("sim", F.round(cosine(F.col("_a"), F.col("_b")), 9)).filter(F.col("sim") >= least)
+    shared = {f"shared_{x}": F.array_sort(F.array_intersect(f"_a_{x}", f"_b_{x}")) for x in ("entities", "slugs")}
+    first = (F.size("shared_entities") > 0) | (F.size("shared_slugs") > 0)
+    return pairs.withColumns(shared).orderBy(first.desc(), F.col("sim").desc(), "a", "b").limit(most).select("a", "b", "sim", *shared)

@@ -98,11 +98,14 @@ def story_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return a, s
 
 
-@query("v03_story_candidates", f"""WITH {ARTICLES_SQL}, {LINKS_SQL}, t AS (SELECT id, published_at, {WORDS_SQL.format('title')} AS tags FROM articles),
+STORY_BLOCKS_SQL = f"""{ARTICLES_SQL}, {LINKS_SQL}, t AS (SELECT id, published_at, {WORDS_SQL.format('title')} AS tags FROM articles),
   a AS (SELECT *, nullif(upper(array_to_string(list_sort(tags)[1:2], '-')), '') AS slug FROM t), m AS (SELECT l.story_id, a.* FROM links l JOIN a ON a.id = l.article_id),
   s AS (SELECT story_id, max(published_at) AS last_at FROM m GROUP BY 1), slugs AS (SELECT DISTINCT story_id, slug FROM m WHERE slug IS NOT NULL),
   counts AS (SELECT story_id, tag, count(*) AS c FROM (SELECT story_id, unnest(tags) AS tag FROM m) GROUP BY 1, 2), top AS (SELECT story_id, tag FROM counts QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY c DESC, tag) <= 5),
-  parts AS (SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS k FROM embeddings JOIN documents ON doc_id = vec_id) GROUP BY 1, 2), centroids AS (SELECT label, list(v ORDER BY k) AS c FROM parts GROUP BY 1),
+  parts AS (SELECT label, k, avg(CAST(embedding[k] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS k FROM embeddings JOIN documents ON doc_id = vec_id) GROUP BY 1, 2), centroids AS (SELECT label, list(v ORDER BY k) AS c FROM parts GROUP BY 1)"""
+
+
+@query("v03_story_candidates", f"""WITH {STORY_BLOCKS_SQL},
   met AS (SELECT a.id AS article, s.story_id, 1 AS block, s.last_at, 0 AS less FROM a JOIN s ON s.last_at BETWEEN a.published_at - INTERVAL 72 HOUR AND a.published_at + INTERVAL 1 HOUR
     UNION ALL SELECT DISTINCT x.id, s.story_id, 2, s.last_at, 0 FROM (SELECT id, unnest(tags) AS tag FROM a) x JOIN top USING (tag) JOIN s USING (story_id)
     UNION ALL SELECT e.vec_id, c.label, 3, NULL, -round({COSINE_SQL}, 9) FROM embeddings e JOIN documents ON doc_id = vec_id, centroids c WHERE c.label IS NOT NULL
@@ -115,6 +118,18 @@ def story_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.story_candidates(*story_blocks(spark, sf_dir))
 
 
+@query("v05_story_pairs", f"""WITH {STORY_BLOCKS_SQL}, {STORIES_SQL},
+  r AS (SELECT st.id, c.c, COALESCE((SELECT list(tag) FROM top WHERE top.story_id = st.id), []) AS tags, COALESCE((SELECT list(slug) FROM slugs WHERE slugs.story_id = st.id), []) AS slugs FROM stories st JOIN centroids c ON c.label = st.id WHERE st.first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY),
+  p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.c, b.c), 9) AS sim, list_intersect(a.tags, b.tags) AS tags, list_intersect(a.slugs, b.slugs) AS slugs FROM r a JOIN r b ON a.id < b.id)
+SELECT a, b, round(sim, 6) AS sim, array_to_string(list_sort(tags), ',') AS shared_entities, array_to_string(list_sort(slugs), ',') AS shared_slugs FROM p WHERE sim >= 0 ORDER BY len(tags) > 0 OR len(slugs) > 0 DESC, p.sim DESC, a, b LIMIT 30""")
+def recent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar stories of the last 30 days for review, those that share something first."""
+    first = frames.stories(spark, sf_dir).select(F.col("id").alias("story"), "first_seen_at")
+    s = story_blocks(spark, sf_dir)[1].join(first, "story")
+    p = candidates.story_pairs(s, F.lit(AS_OF).cast("timestamp_ntz"), days=30, least=0.0)
+    return p.select("a", "b", F.round("sim", 6).alias("sim"), *(F.array_join(c, ",").alias(c) for c in ("shared_entities", "shared_slugs")))
+
+
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedded article against its three nearest stories: components and total of the hybrid score."""
     a = frames.articles(spark, sf_dir).join(table(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id"))
