@@ -312,3 +312,12 @@ def test_story_pairs_meet_across_days(spark, monkeypatch, most):
     assert (90, 91) in {e[2:4] for e in expected}
     found = candidates.story_pairs(frame, F.lit(str(now)).cast("timestamp_ntz"), most=most).collect()
     assert [(r["a"], r["b"], r["shared_entities"], r["shared_slugs"]) for r in found] == [e[2:] for e in sorted(expected)[:most]]
+
+
+def test_aliases_and_terms_of_whole_texts(spark, tmp_path):
+    from weftline.plans import ingestion, lists
+
+    texts = ["x" * 90 + " the\nder", "word " * 3000 + "La", "of " * 40, "a" * 70 + " b@c.de", "short term", "y " * 50, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in lists.all_aliases(spark, str(tmp_path)).collect()} == {(0, "DE-DER,EN-THE"), (1, "ES-LA")}
+    assert dict(map(tuple, ingestion.whole_terms(spark, str(tmp_path)).collect())) == {k: "short term" if k == 4 else None for k in range(7)}

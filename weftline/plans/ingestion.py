@@ -64,6 +64,12 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", relevance.search_term(F.substring("text", 1, 60)).alias("term"))
 
 
+@query("p22_whole_terms", "WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS term FROM documents) SELECT doc_id, CASE WHEN NOT (length(term) < 2 OR length(term) > 80 OR regexp_matches(term, '@|https?:|[0-9]{7,}|[<>{}]')) THEN term END AS term FROM t")
+def whole_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as search terms: what is too long or private anywhere is refused."""
+    return table(spark, sf_dir, "documents").select("doc_id", relevance.search_term(F.col("text")).alias("term"))
+
+
 @query("p25_p26_violations", "SELECT doc_id, concat_ws(',', CASE WHEN (quality IS NULL) <> (toxic IS NULL) THEN 'group' END, CASE WHEN quality NOT BETWEEN 0 AND 1 THEN 'range' END, CASE WHEN quality = 1 AND toxic = 1 THEN 'contradiction' END) AS violations FROM labels WHERE (quality IS NULL) <> (toxic IS NULL) OR quality NOT BETWEEN 0 AND 1 OR (quality = 1 AND toxic = 1)")
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that break a rule of the table, with the rules they break."""

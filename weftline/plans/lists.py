@@ -170,6 +170,18 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("entities", ",").alias("entities"))
 
 
+@query("j19_v14_all_aliases", """WITH t AS (SELECT DISTINCT doc_id, upper(trim(unnest(string_split(replace(text, chr(10), ' '), ' ')))) AS word FROM documents), m AS (SELECT * FROM (VALUES ('THE', 'EN-THE'), ('DER', 'DE-DER'), ('LA', 'ES-LA'), ('LE', 'FR-LE'), ('OF', NULL)) v(alias, id))
+SELECT t.doc_id, string_agg(DISTINCT m.id, ',' ORDER BY m.id) AS entities FROM t JOIN m ON m.alias = t.word WHERE m.id IS NOT NULL AND regexp_matches(m.id, '^[A-Z]{2}-[A-Z-]+$') GROUP BY 1""")
+def all_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of whole texts; a text's distinct words are looked up."""
+    from weftline.operators.maintenance import normalise_entities
+
+    words = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("raw"))
+    names = spark.createDataFrame([("THE", "EN-THE"), ("der", "DE-DER"), ("La", "ES-LA"), ("le", "FR-LE"), ("OF", None)], "alias string, entity string")
+    found = normalise_entities(words, "doc_id", "raw", names, r"^[A-Z]{2}-[A-Z-]+$")
+    return found.select("doc_id", F.array_join("entities", ",").alias("entities"))
+
+
 @query("j20_w03_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e"))
