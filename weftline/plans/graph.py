@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.lineage import cut
+from weftline.plans.spread import join_spread
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges`` that isn't the smallest of its component.
 
     Alternates large-star and small-star steps, which hang all neighbours of a node on the smallest one, until every
-    edge leads to a root. The number of edges never grows, the number of rounds is logarithmic in practice, and no
-    component is gathered in one place: minima are pre-aggregated and joined back. Null ends and loops are ignored.
+    edge leads to a root. The number of edges never grows and the number of rounds is logarithmic in practice. Minima
+    are pre-aggregated, and joined back to slices of a node's edges, so neither a component nor the leaves of one node
+    are gathered in one place. Null ends and loops are ignored.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a) != F.col(b)).alias("ok"))
     now = cut(ends.filter("ok").select("u", "v").distinct())
     state = _fingerprint(now)
     while state[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = join_spread(both, least, ["u"], "v", "inner").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = join_spread(large, root, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         following = cut(small.union(root.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _fingerprint(following)
         now = following
