@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,25 +87,45 @@ def test_estimates_are_unbiased():
     assert bound.shape == (50,)
 
 
-def lcs_runs(a, b):
-    table = np.zeros((len(a) + 1, len(b) + 1), int)
-    for i, x in enumerate(a):
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
         for j, y in enumerate(b):
-            table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-    return table[-1, -1]
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
 
 
-def test_alignment_is_optimal_and_banded():
+@pytest.mark.parametrize("bits", [4096, 8])
+def test_alignment_is_optimal_and_banded(monkeypatch, bits):
+    monkeypatch.setattr(neardup, "MASK_BITS", bits)
     random.seed(2)
-    for _ in range(500):
-        a, b = ([random.randint(0, 3) for _ in range(random.randint(0, 9))] for _ in range(2))
-        runs = neardup.aligned_runs(a, b, 50)
-        assert sum(runs) == lcs_runs(a, b)
-        if changes := len(a) + len(b) - 2 * sum(runs):
-            assert neardup.aligned_runs(a, b, changes - 1) is None
+    for _ in range(1500):
+        a = [random.randint(0, random.choice([2, 4, 50])) for _ in range(random.randint(0, 30))]
+        b = list(a)
+        for _ in range(random.randint(0, 8)):
+            at = random.randint(0, len(b))
+            b[at : at + random.randint(0, 1)] = [random.randint(0, 5)] * random.randint(0, 1)
+        best = longest_common(a, b)
+        for least in (0.5, 0.8, 0.9):
+            enough = best > 0 and 2 * best >= least * (len(a) + len(b)) - 1e-9
+            assert neardup.matched_words(np.array(a, np.uint64), np.array(b, np.uint64), least) == (best if enough else 0)
+
+
+def test_very_long_texts_are_aligned_in_little_memory():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 3000, 20000).astype(np.uint64)
+    changed = np.where(rng.random(20000) < 0.1, np.uint64(9000), words)
+    tracemalloc.start()
+    assert 0.85 < neardup.similarity(words, changed) < 0.95
+    assert neardup.similarity(words, np.concatenate([words[10000:], words[:10000]])) == 0
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
 
 
 def near_texts():
+    """Copies with a few changed words, and texts that share nothing much."""
     random.seed(4)
     words = [f"w{k}" for k in range(3000)]
     rows = []
@@ -113,32 +134,58 @@ def near_texts():
         rows.append(" ".join(text))
         for _ in range(n % 4):
             new = list(text)
-            for _ in range(random.choice([0, 1, 1, 2, 8])):
+            for _ in range(random.choice([0, 1, 1, 2]) if len(new) > 8 else random.choice([0, 2])):
                 new[random.randrange(len(new))] = random.choice(words)
             rows.append(" ".join(new))
-    return rows + ["", " \n", "one", "one", None, None, "a b c d e " * 200]
-
-
-@pytest.mark.parametrize("block", [1024, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    passage = " ".join(random.choices(words, k=60))
+    rows += [passage + " " + " ".join(random.choices(words, k=40)) for _ in range(12)]
+    return rows + ["", " \n", "one", "one", None, None, "a b c d e " * 200, "one two three four", "one two three four five", "x" * 5000]
+
+
+def near_classes(texts, least=0.8):
+    """Classes of the texts by place: equal texts, and those of five words or more whose longest common subsequence is long enough."""
+    words = [None if t is None else t.split() for t in texts]
+    edges = []
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:i]):
+            if a is None or b is None:
+                continue
+            near = min(len(a), len(b)) >= 5 and sum((Counter(a) & Counter(b)).values()) * 2 >= least * (len(a) + len(b)) and 2 * longest_common(a, b) >= least * (len(a) + len(b)) - 1e-9
+            if texts[i] == texts[j] or near:
+                edges.append((i, j))
+    return components(range(len(texts)), edges)
+
+
+@pytest.mark.parametrize(("block", "size"), [(1024, 8 << 20), (2, 8 << 20), (1024, 600)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, size):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
     texts = near_texts()
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[3], "x")]
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect()
     assert len(found) == len(rows)
-    hashes = neardup.WordHashes()
-    coded = [None if t is None else hashes.of(t) for t in texts]
-    edges = [
-        (i, j) for i in range(len(texts)) for j in range(i) if texts[i] is not None and texts[j] is not None
-        and (texts[i] == texts[j] or neardup.similarity(coded[i], coded[j]) >= 0.8)
-    ]
-    own = components(range(len(texts)), edges)
+    own = near_classes(texts)
     for r in found:
         assert r["class_id"] == (None if r["doc_id"] is None else own[r["doc_id"]])
         assert r["kept"] == (r["doc_id"] is None or own[r["doc_id"]] == r["doc_id"])
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_copies_are_recalled(spark):
+    """Of the pairs of different texts that brute force finds similar, nine in ten or more share a class, and no others do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["text"]: r["class_id"] for r in neardup.near_duplicates(docs).join(docs, "doc_id").select("text", "class_id").collect()}
+    texts = sorted(t for t in found if t)
+    own = near_classes(texts)
+    near = [(texts[i], texts[k]) for i, k in own.items() if i != k]
+    assert len(near) > 50
+    assert sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
+    by_class = defaultdict(set)
+    for k, t in enumerate(texts):
+        by_class[found[t]].add(own[k])
+    assert all(len(s) == 1 for s in by_class.values())
+
+
 def test_shards(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("shard", F.lit("clash"))
     odd = spark.createDataFrame([(None, None, None), (None, "x", None), (7, "é", "src1"), (7, "é", "src1")], "doc_id long, text string, source string")
