@@ -108,6 +108,7 @@ def test_alignment_is_optimal_and_banded(monkeypatch, bits):
             at = random.randint(0, len(b))
             b[at : at + random.randint(0, 1)] = [random.randint(0, 5)] * random.randint(0, 1)
         best = longest_common(a, b)
+        assert best == common_by_bits(a, b)
         for least in (0.5, 0.8, 0.9):
             enough = best > 0 and 2 * best >= least * (len(a) + len(b)) - 1e-9
             assert neardup.matched_words(np.array(a, np.uint64), np.array(b, np.uint64), least) == (best if enough else 0)
@@ -142,15 +143,28 @@ def near_texts():
     return rows + ["", " \n", "one", "one", None, None, "a b c d e " * 200, "one two three four", "one two three four five", "x" * 5000]
 
 
+def common_by_bits(a, b):
+    """Length of the longest common subsequence, the whole table a row of bits at a time."""
+    masks = defaultdict(int)
+    for i, w in enumerate(a):
+        masks[w] |= 1 << i
+    full = row = (1 << len(a)) - 1
+    for w in b:
+        row = ((row + (row & masks[w])) | (row & ~masks[w])) & full
+    return len(a) - row.bit_count()
+
+
 def near_classes(texts, least=0.8):
     """Classes of the texts by place: equal texts, and those of five words or more whose longest common subsequence is long enough."""
     words = [None if t is None else t.split() for t in texts]
+    counts = [None if w is None else Counter(w) for w in words]
     edges = []
     for i, a in enumerate(words):
         for j, b in enumerate(words[:i]):
             if a is None or b is None:
                 continue
-            near = min(len(a), len(b)) >= 5 and sum((Counter(a) & Counter(b)).values()) * 2 >= least * (len(a) + len(b)) and 2 * longest_common(a, b) >= least * (len(a) + len(b)) - 1e-9
+            enough = least * (len(a) + len(b)) / 2 - 1e-9
+            near = min(len(a), len(b)) >= max(5, enough) and (counts[i] & counts[j]).total() >= enough and common_by_bits(a, b) >= enough
             if texts[i] == texts[j] or near:
                 edges.append((i, j))
     return components(range(len(texts)), edges)

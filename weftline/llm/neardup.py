@@ -40,10 +40,13 @@ MASK_BITS = 4096
 LONG = 2048
 #: Marks that are ranked at once for several samples.
 RANKED = 1 << 18
-#: Odd multipliers of the words of a shingle, and of the mixing steps.
+#: Words whose hashes a task remembers.
+WORDS_HELD = 1 << 20
+#: Odd multipliers of the words of a shingle, and of the mixing step; those of the samples rank the mixed hashes.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
+_LAST = np.uint64(2**64 - 1)
 _SEEDS = np.random.default_rng(20240131).integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -93,10 +96,12 @@ def sketch(words: np.ndarray) -> list[int]:
     some = max(1, RANKED // len(marks))
     out: list[int] = []
     for seeds in (_SEEDS[at : at + some] for at in range(0, SAMPLES, some)):
-        rank = (marks ^ seeds[:, None]) * _MIX
-        rank ^= rank >> _SHIFT
-        rank *= _PLACES[1]
-        first = np.sort(np.argpartition(rank, take - 1, axis=1)[:, :take], axis=1)
+        rank, rows = marks * seeds[:, None], np.arange(len(seeds))
+        first = np.empty((len(seeds), take), np.int64)
+        for k in range(take):
+            first[:, k] = rank.argmin(axis=1)
+            rank[rows, first[:, k]] = _LAST
+        first.sort(axis=1)
         out += [xxhash.xxh3_64_intdigest(drawn.tobytes(), int(seed)) - 2**63 for drawn, seed in zip(marks[first], seeds, strict=True)]
     return out
 
@@ -166,8 +171,10 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-        hashes = WordHashes()
+        if len(hashes) > WORDS_HELD:
+            hashes.clear()
         sketches = [None if t is None else sketch(hashes.of(t)) for t in batch.column("text").to_pylist()]
         columns = [*(batch.column(c) for c in ("doc_id", "node", "bytes")), pa.array(sketches, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "bytes", "sketch"])
