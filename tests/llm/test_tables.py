@@ -1,6 +1,7 @@
 """Near-duplicates, shards, archives, mixtures and the pipeline against brute force."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -71,6 +72,26 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     assert (found[None]["component_id"], found[None]["kept"]) == (None, True)
 
 
+def test_embeddings_as_shipped_find_nearly_all(spark):
+    """Pairs close above the threshold, among vectors that are far apart, with the shipped odds of missing one."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(1500):
+        v = rng.normal(size=64)
+        v /= np.linalg.norm(v)
+        z = rng.normal(size=64)
+        z -= v * (z @ v)
+        z /= np.linalg.norm(z)
+        rows += [(2 * k, v.tolist(), 0), (2 * k + 1, (0.932 * v + math.sqrt(1 - 0.932**2) * z).tolist(), 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(frame).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(1500)) >= 0.99 * 1500
+    assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+    far = [(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [1e200, -1e200], 0)]
+    linked = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(far, frame.schema)).collect()}
+    assert linked == {1: 1, 2: 1, 3: 0}
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 64))
@@ -215,6 +236,9 @@ def test_shards(spark, tmp_path):
             assert abs(sum(r["shard"] == shard and r["source"] == source for r in rows) - n / 7) < 1.5 + 0.02 * n
     assert Counter(rows) == Counter(sharding.assign_shards(frame.repartition(3), 7, seed=1).collect())
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    for bad in (frame, docs.union(docs)):
+        with pytest.raises(ValueError, match="null or repeated"):
+            sharding.write_shards(bad, str(tmp_path / "refused"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
     assert sharding.assign_shards(frame.limit(0), 7).count() == 0
 
@@ -248,6 +272,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived_pages(spark, empty).count() == 0
 
 
+def test_pages_that_share_an_id_are_told_apart(spark, tmp_path):
+    rows = [(1, "u", "A"), (1, "u", "BBBB"), (5, "u", "BBBB"), (6, "u", "A"), (6, "u", "BBBB"), (7, "u", "A"), (7, "u", "A")]
+    path = warc.write_warc(warc.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")), str(tmp_path / "a"))
+    found = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived_pages(spark, path).collect())
+    assert found == Counter([(1, 1, "response", None), (1, 4, "response", None), (5, 4, "revisit", 1), (6, 1, "revisit", 1), (6, 4, "revisit", 1), (7, 1, "revisit", 1), (7, 1, "revisit", 1)])
+
+
+def test_archives_with_a_member_per_record(spark, tmp_path):
+    record = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Length: 9\r\n\r\nH\r\n\r\nbody\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(record.format(k).encode()) for k in range(5)))
+    found = warc.archived_pages(spark, str(tmp_path)).collect()
+    assert {(r["page_id"], bytes(r["payload"])) for r in found} == {(k, b"body") for k in range(5)}
+
+
 def test_headers_decide_before_contents(tmp_path):
     path = tmp_path / "x.warc"
     path.write_bytes(b"".join(b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" % kind for kind in (b"request", b"response")))
@@ -296,6 +334,53 @@ def test_mixture(spark, favour):
     assert mixing.mix(frame.limit(0), (3, 1, 2), 1.5).count() == 0
 
 
+def test_mixture_of_repeated_rows(spark):
+    """Equal rows, and rows that share id and size, are taken one by one: the target is met to half a document."""
+    rows = [(None, "a b c d e f g", "s")] * 2000 + [(k, "w " * (k % 40), "t") for k in range(200)] + [(None, f"x y {k}", "t") for k in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for share in (0.7, 1.0, 1.5):
+        mixed = mixing.mix(frame, (3, 1, 2), share, seed=17).collect()
+        assert Counter(r["text"] for r in mixed) == Counter(r[1] for r in rows)
+        for source in ("s", "t"):
+            own = [r for r in mixed if r["source"] == source]
+            assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+            assert all(0 <= r["copies"] <= 2 for r in own)
+        again = mixing.mix(frame.repartition(3), (3, 1, 2), share, seed=17).collect()
+        assert Counter(tuple(r) for r in mixed) == Counter(tuple(r) for r in again)
+
+
+def odd_documents(spark):
+    text = "A mild wind went over the hills and the river in the morning, and it was quiet for a long time. " * 3
+    rows = [
+        (1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "de", None, None), (None, text, "en", "a", 1), (3, None, None, None, None), (4, "", "en", "b", 0),
+        (5, text + "Call (212) 555-0100 on 2024-02-29. " + "stone river cloud garden window table with the light of it " * 12, None, "b", 1), (6, "\n \t", "xx", "c", 3), (7, " ".join(f"word{k} of the town" for k in range(40000)), "en", "c", 1),
+    ]
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, class_id string")
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, DATA).collect()
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        ids = Counter(r["doc_id"] for r in rows)
+        if name == "quality rules":
+            assert set(ids) <= {1, 2, None, 5, 7} and ids[1] in (0, 2)
+        elif name == "near-duplicates":
+            assert ids == {1: 1, None: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+            # Rows of one id and text that differ otherwise: the least of them stays.
+            assert next(r["source"] for r in rows if r["doc_id"] == 1) == "a"
+        elif name == "personal data":
+            assert ids == Counter(r["doc_id"] for r in docs.collect())
+            assert all((r["text"] is None) == (r["doc_id"] == 3) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+        elif name == "source mixture":
+            assert 7 in ids and set(ids) <= {r["doc_id"] for r in docs.collect()}
+        else:
+            assert ids == Counter(r["doc_id"] for r in docs.collect()) and all(r["n_tokens"] == len(r["ids"]) >= 2 for r in rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

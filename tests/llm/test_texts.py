@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from weftline.llm import lengths, licenses, pieces, pseudonyms, quality
+from weftline.llm import lengths, licenses, pieces, pseudonyms, quality, settings
 from weftline.llm.settings import tokenizer
 
 TEXTS = [
@@ -70,6 +70,11 @@ def test_lengths_answer_every_limit(spark, real):
     limits = [1, 100, 777, 2048, 10**6]
     assert {r["context"]: r["total"] for r in lengths.truncated_totals(sums, limits).collect()} == {n: sum(min(s, n) for s in sizes) for n in limits}
     found = {r["share"]: r["n_tokens"] for r in lengths.quantiles(sums, [0.1, 0.5, 1.0]).collect()}
+    odd = spark.createDataFrame([(None, "x"), (None, "x"), ("", "x"), ("a", "x"), ("a", "x")], "text string, n_tokens string")
+    assert {r["n_tokens"]: r["n_docs"] for r in lengths.length_histogram(odd, model).collect()} == {2: 3, 3: 2}
+    none = lengths.suffix_sums(lengths.length_histogram(odd.limit(0), model))
+    assert lengths.quantiles(none, [0.5]).count() == 0
+    assert [r["total"] for r in lengths.truncated_totals(none, [7]).collect()] == [0]
     assert found == {q: next(s for k, s in enumerate(sizes, 1) if k >= q * len(sizes)) for q in (0.1, 0.5, 1.0)}
 
 
@@ -133,6 +138,8 @@ def test_pseudonyms_keep_format_and_links(spark):
     for kept in ("@x.example.org", "4111 1111 1111 1112", "300.1.1.1", "2023-02-29", "version 2.0."):
         assert kept in new
     assert pseudonyms.luhn(re.search(r"card ([\d ]+),", new)[1].replace(" ", ""))
+    mail = re.search(r"Mail (\S+)@", new)[1]
+    assert len(mail) == 6 and mail[3] == "." and mail == mail.lower()
     datetime.date.fromisoformat(re.search(r"on (\d{4}-\d\d-\d\d) not", new)[1])
     iban = re.search(r"DE[\d ]+\d", new)[0].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
@@ -140,6 +147,56 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other != new
 
 
+def test_pseudonyms_equal_brute_force(spark):
+    """Values are found, validated and replaced one after another by rules written out for each kind."""
+    f = pseudonyms.Feistel(hashlib.sha256(b"k").digest())
+
+    def iso(m):
+        try:
+            day = datetime.date.fromisoformat(m[0]).toordinal()
+        except ValueError:
+            return m[0]
+        first = datetime.date(1900, 1, 1).toordinal()
+        size = datetime.date(2099, 12, 31).toordinal() - first + 1
+        return datetime.date.fromordinal(first + f.permute(day - first, size, "date")).isoformat() if 0 <= day - first < size else m[0]
+
+    def octets(m):
+        parts = [int(x) for x in m[0].split(".")]
+        number = sum(x << 8 * (3 - k) for k, x in enumerate(parts))
+        return ".".join(str(f.permute(number, 2**32, "ipv4") >> 8 * (3 - k) & 255) for k in range(4)) if max(parts) < 256 else m[0]
+
+    def social(m):
+        def valid(n):
+            s = f"{n:09d}"
+            return s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
+
+        n = int(m[0].replace("-", ""))
+        if not valid(n):
+            return m[0]
+        while not valid(n := f.permute(n, 10**9, "social")):
+            pass
+        return f"{n:09d}"[:3] + "-" + f"{n:09d}"[3:5] + "-" + f"{n:09d}"[5:]
+
+    rng = np.random.default_rng(8)
+    made = [lambda: f"{rng.integers(1890, 2110)}-{rng.integers(0, 14):02d}-{rng.integers(0, 33):02d}", lambda: ".".join(str(rng.integers(0, 300)) for _ in range(4)), lambda: f"{rng.integers(0, 1000):03d}-{rng.integers(0, 4):02d}-{rng.integers(0, 9999):04d}", lambda: "word"]
+    texts = [" ; ".join(made[rng.integers(4)]() for _ in range(40)) for _ in range(50)]
+    found = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    for r in found:
+        expected = re.sub(r"\b\d{4}-\d\d-\d\d\b", iso, texts[r["doc_id"]])
+        expected = re.sub(r"(?<!\S)\d+(\.\d+){3}(?!\S)", octets, expected)
+        assert r["text"] == re.sub(r"(?<!\S)\d{3}-\d\d-\d{4}(?!\S)", social, expected)
+        assert r["n_private"] == sum(a != b for a, b in zip(texts[r["doc_id"]].split(), r["text"].split(), strict=True))
+
+
+def test_the_key_is_the_sessions_own(spark):
+    spark.conf.unset(settings.KEY)
+    key = settings.pseudonym_key(spark)
+    assert len(key) == 64 and settings.pseudonym_key(spark) == key
+    spark.conf.set(settings.KEY, "mine")
+    assert settings.pseudonym_key(spark) == "mine"
+    spark.conf.unset(settings.KEY)
+
+
 def scan(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     at, base_labels, labels, best = [], set(), set(), 0.0
@@ -148,8 +205,9 @@ def scan(text):
         found = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
         at += found
         base_labels |= {label} if found else set()
-    for line in (text or "").lower().split("\n"):
-        have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+    lines = (text or "").lower().split("\n")
+    for k in range(len(lines)):
+        have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ".join(lines[k : k + 4])))
         for label, sentence in licenses.TEMPLATES:
             want = set(sentence.split())
             if len(have & want) >= 0.8 * len(want) - 1e-9:
@@ -163,7 +221,8 @@ def test_licenses_equal_a_full_comparison(spark, docs, real):
     more = [
         (100, "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files."),
         (101, "licensed under the apache license, version 3"), (102, "Mit license mit LICENSE ümit license"), (103, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-        (103, "licensed under cc by\nnc 4 0"), (104, "under license " * 5000),
+        (103, "licensed under cc by\nnc 4 0"),
+        (105, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this\n\nsoftware and associated documentation files"), (106, "Redistribution and use in source\nand\n\n\nbinary forms\n"), (104, "under license " * 5000),
     ]
     extra = spark.createDataFrame(more, "doc_id long, text string")
     for frame in (docs, real, extra):

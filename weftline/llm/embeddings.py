@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.graph import connected_components
 from weftline.plans.lineage import cut
+from weftline.plans.spread import join_spread
 
 #: Standard errors of an estimate below the threshold at which a pair is given up; 4.5 leaves odds of 1 in 10**5.
 ERRORS = 4.5
@@ -32,6 +33,8 @@ def rotation(dim: int, number: int, seed: int = 20240131) -> np.ndarray:
 
 def unit(batch: pa.Array, dim: int) -> np.ndarray:
     x = np.asarray(batch.flatten(), dtype=np.float64).reshape(-1, dim)
+    # Scaled first, so that no square over- or underflows.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -211,9 +214,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
         .join(component.withColumnRenamed("node", "rep"), "rep", "left")
         .select("grp", "h1", "h2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("first"))
     )
-    narrow = rows.select("vec_id", "usable", "grp", "h1", "h2")
-    same = [F.col("usable"), *(narrow[c] == found[c] for c in ("grp", "h1", "h2"))]
-    joined = narrow.join(found, same, "left").select(
+    # Null keys match nothing; the rows of one class are spread over tasks.
+    narrow = cut(rows.select("vec_id", F.when(F.col("usable"), F.col("grp")).alias("grp"), "h1", "h2"))
+    joined = join_spread(narrow, found, ["grp", "h1", "h2"], F.coalesce("vec_id", F.lit(0))).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("first", "vec_id")).alias("component_id")
     )
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

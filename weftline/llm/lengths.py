@@ -68,7 +68,7 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """The smallest length that at least each share of the documents doesn't exceed: share and n_tokens."""
+    """The smallest length that at least each share of the documents doesn't exceed: share and n_tokens; no row for an empty table."""
     spark = sums.sparkSession
     asked = F.broadcast(spark.createDataFrame([(float(x),) for x in shares], "share double"))
     total = F.broadcast(sums.agg(F.sum("n_docs").alias("all")))

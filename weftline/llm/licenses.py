@@ -11,16 +11,27 @@ from pyspark.sql import functions as F
 #: Characters between the words of a lower-cased text.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Label, and a sentence that states the license.
+#: Label, and a sentence of the public text of the license, or one that states it.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "this software is licensed under the mit license"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
 )
 #: Phrases whose places are counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -28,11 +39,13 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 
 @dataclass(frozen=True)
 class LicenseScan:
-    """Templates as (label, sentence), phrases as (phrase, label), and the share of a template's distinct words that a block must hold."""
+    """Templates as (label, sentence), phrases as (phrase, label), the share of a template's distinct words that a block
+    must hold, and the lines that a block runs over."""
 
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     phrases: tuple[tuple[str, str], ...] = PHRASES
     containment: float = 0.8
+    lines: int = 4
 
     def tokens(self) -> list[str]:
         return sorted({t for _, sentence in self.templates for t in sentence.split()})
@@ -79,12 +92,16 @@ def _starts(words: Column, phrase: list[str]) -> Column:
 
 
 def matching_blocks(docs: DataFrame, scan: LicenseScan, order: list[str], keys: list[str], text: str = "text") -> DataFrame:
-    """Every line and template with a containment of at least ``scan.containment``: keys, line, label, containment.
+    """Every block and template with a containment of at least ``scan.containment``: keys, line, label, containment.
 
-    ``order`` holds the tokens of all templates by their frequency in all texts. A line's tokens that no template
-    holds would stand first and match nothing, so a line is reduced to those that stand in the order. Of a template
-    with s tokens, r = ceil(containment * s) must be in the line: so one of the template's first s - r + 1 tokens is
-    (prefix filter), among the line's first v - r + 1 of v (length filter v >= r); and from the first token in
+    A block is a line, its number from 0, with the ``scan.lines`` - 1 lines after it, so a sentence that is wrapped over
+    so many lines is in one; what one line holds, its block holds. A block whose first line has no word of a
+    template is left out, as the next one holds as much.
+
+    ``order`` holds the tokens of all templates by their frequency in all texts. A block's tokens that no template
+    holds would stand first and match nothing, so a block is reduced to those that stand in the order. Of a template
+    with s tokens, r = ceil(containment * s) must be in the block: so one of the template's first s - r + 1 tokens is
+    (prefix filter), among the block's first v - r + 1 of v (length filter v >= r); and from the first token in
     common, at least r must be left on both sides (positional filter). What is left is counted exactly.
     """
     templates, prefixes = scan.prepared(order)
@@ -92,9 +109,14 @@ def matching_blocks(docs: DataFrame, scan: LicenseScan, order: list[str], keys:
     # Both tables are as small as the templates, which are parameters.
     prefix = F.broadcast(spark.createDataFrame(prefixes, "token string, template int, at int, tokens int, least int"))
     whole = F.broadcast(spark.createDataFrame(templates, "template int, label string, words array<string>, needed int"))
-    lines = docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "block"))
-    lines = lines.select(*keys, "line", F.array_intersect(F.array(*map(F.lit, order)), words_of(F.col("block"))).alias("have"))
-    first = lines.select("*", F.posexplode("have").alias("p", "token")).join(prefix, "token")
+    listed = F.array(*map(F.lit, order))
+    lines = docs.select(*keys, F.transform(F.split(text, "\n"), lambda line: F.array_intersect(words_of(line), listed)).alias("lines"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda k: F.size(F.get("lines", k - 1)) > 0)
+    blocks = lines.select(*keys, "lines", F.explode(starts).alias("at"))
+    have = F.array_intersect(listed, F.flatten(F.slice("lines", F.col("at"), F.lit(scan.lines))))
+    least_tokens = min(p[4] for p in prefixes)
+    blocks = blocks.select(*keys, (F.col("at") - 1).alias("line"), have.alias("have")).filter(F.size("have") >= least_tokens)
+    first = blocks.select("*", F.posexplode("have").alias("p", "token")).join(prefix, "token")
     held, least = F.size("have"), F.col("least")
     first = first.filter(
         (held >= least) & (F.col("p") <= held - least) & (F.least(held - F.col("p"), F.col("tokens") - F.col("at")) >= least)
@@ -109,7 +131,7 @@ def scan_licenses(docs: DataFrame, scan: LicenseScan | None = None, doc_id: str
 
     Texts are lower-cased in A-Z only. n_base counts places where a phrase's words stand one after another;
     first_word and last_word are the smallest and largest of them, or null. base_labels come from the phrases, labels
-    from the phrases and from lines that hold a template; both are distinct, sorted and joined by commas, and empty
+    from the phrases and from blocks that hold a template; both are distinct, sorted and joined by commas, and empty
     if there is none. score is the greatest containment of a template, else 1 with a phrase and 0 without. A null
     text is empty. Rows that repeat get equal results. Texts aren't shuffled, only counts and blocks that match.
     """

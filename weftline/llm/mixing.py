@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.quality import BLANK, count_runs
 from weftline.plans.lineage import cut
+from weftline.plans.spread import join_spread
 
 #: Slices of the sampling order; only the slice that holds a source's cut is ordered row by row.
 SLICES = 4096
+#: Equal rows of which only some are taken are made anew in runs of so many.
+RUN = 1000
 #: Odds are kept finite.
 EDGE = 1e-9
 #: Up to so many sources, their table of a few numbers each is broadcast; beyond, it is joined by shuffling.
@@ -27,7 +30,9 @@ def _drawn(docs: DataFrame, size: Column, favour: Callable[[Column], Column], se
     named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     df = docs.withColumns({"_m_source": named, "_m_size": size})
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("_m_size").cast("string")))
-    df = df.withColumns({"_m_key": key, "_m_favour": favour(F.col("_m_size")).cast("double")})
+    # Rows with one key are told apart by their other columns; those that still agree are equal.
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    df = df.withColumns({"_m_key": key, "_m_tie": F.xxhash64(*map(F.col, plain)), "_m_favour": favour(F.col("_m_size")).cast("double")})
     digits = F.conv(F.substring("_m_key", 1, 13), 16, 10).cast("double")
     return df.withColumn("_m_uniform", (digits + 0.5) / float(2**52))
 
@@ -87,7 +92,7 @@ def _scales(rows: DataFrame, targets: DataFrame, most: float) -> DataFrame:
 
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
     small = plan.count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(plan) if small else plan, "_m_source")
+    return rows.join(F.broadcast(plan), "_m_source") if small else join_spread(rows, plan, ["_m_source"], "_m_key", "inner")
 
 
 def mix(
@@ -110,29 +115,54 @@ def mix(
     The rest of the target is filled in Pareto order, random odds over inclusion odds, up to the document whose
     middle crosses it; so the words taken miss the target by half a document at most.
 
-    Random numbers come from the seed, the id and the size, so reruns agree, and rows that repeat share their fate.
+    Random numbers come from the seed, the id and the size, so reruns agree. Rows that share both are ordered by their
+    other columns; of rows that are equal in all columns, any may be taken, and as many are as the target has room for.
     Null texts have size 0, null sources are a source of their own, null ids are ids like others; an empty table
     gives no rows. Columns of ``docs`` named like the added ones are replaced; names in ``_m_`` are reserved. Running
     sums go over slices of the order, so no source is gathered in one task, and texts are never shuffled.
     """
     size = word_count() if size is None else size
     drawn = _drawn(docs, size, favour, seed, doc_id, source)
-    rows = cut(drawn.select(F.col(source).alias("source"), "_m_source", "_m_size", "_m_favour", "_m_key", "_m_uniform"))
+    rows = cut(drawn.select(F.col(source).alias("source"), "_m_source", "_m_size", "_m_favour", "_m_key", "_m_tie", "_m_uniform"))
     totals = rows.groupBy("_m_source", "source").agg(F.sum("_m_size").alias("_m_total"))
     targets = cut(source_targets(totals, weights, share, float(most)).drop("source"))
     targets = cut(targets.join(_scales(rows, targets, float(most)), "_m_source", "left"))
     ends = _ends(_chances(_joined(rows.drop("source"), targets), most), most)
     plan = cut(targets.join(ends, "_m_source", "left"))
     placed = _chances(_joined(drawn, plan), most)
-    sampled = (F.col("_m_whole") < most) & (F.col("_m_end").isNull() | (F.struct("_m_order", "_m_key") < F.col("_m_end")))
+    place = F.struct("_m_order", "_m_key", "_m_tie")
+    sampled = (F.col("_m_whole") < most) & (F.col("_m_end").isNull() | (place < F.col("_m_end")))
+    if not plan.filter("_m_part > 0").isEmpty():
+        parted = F.coalesce((F.col("_m_whole") < most) & (F.col("_m_part") > 0) & (place == F.col("_m_end")), F.lit(False))
+        placed = _parted(placed.withColumn("_m_parted", parted), docs.columns)
+        sampled = F.coalesce(F.col("_m_number") < F.col("_m_part"), sampled)
     added = {"size": F.col("_m_size"), "source_size": F.col("_m_total"), "target": F.col("target")}
     added["copies"] = (F.col("_m_whole") + sampled.cast("int")).cast("int")
     kept = [c for c in docs.columns if c not in added]
     return placed.select(*kept, *(c.alias(name) for name, c in added.items()))
 
 
+def _parted(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """Number the equal rows at a source's cut, which only some of are taken, in ``_m_number``; it is null for the others.
+
+    They are counted and made anew from one of them, in runs, so they are gathered in no task.
+    """
+    keys = ["_m_source", "_m_order", "_m_key", "_m_tie"]
+    others = placed.filter(~F.col("_m_parted")).withColumn("_m_number", F.lit(None).cast("long"))
+    kept = [c for c in placed.columns if c not in keys]
+    equal = placed.filter("_m_parted").groupBy(*keys).agg(*(F.first(c).alias(c) for c in kept), F.count("*").alias("_m_rows"))
+    runs = equal.withColumn("_m_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m_rows") - 1) / RUN))))
+    runs = runs.repartition(*keys, "_m_run")
+    last = F.least(F.col("_m_rows"), (F.col("_m_run") + 1) * RUN) - 1
+    made = runs.withColumn("_m_number", F.explode(F.sequence(F.col("_m_run") * RUN, last)))
+    return others.unionByName(made.select(*others.columns))
+
+
 def _ends(placed: DataFrame, most: int) -> DataFrame:
-    """Where the sampling order of a source is cut: (order, key) of its first row left out; no row if all are in."""
+    """Where the sampling order of a source is cut: the place (order, key, tie) of its first row left out; no row if all are in.
+
+    Equal rows have one place; ``_m_part`` says how many of those at the cut are in.
+    """
     placed = placed.withColumn("_slice", F.least(F.floor(F.col("_m_order") * SLICES), F.lit(SLICES - 1)))
     open_size = F.when(F.col("_m_whole") < most, F.col("_m_size")).otherwise(0)
     slices = placed.groupBy("_m_source", "_slice").agg(
@@ -144,12 +174,16 @@ def _ends(placed: DataFrame, most: int) -> DataFrame:
     slices = slices.withColumn("_base", F.col("_upto") - F.col("_open"))
     crossing = cut(slices.filter((F.col("_upto") > F.col("_budget")) & (F.col("_base") <= F.col("_budget"))))
     crossing = crossing.select("_m_source", "_slice", "_budget", "_base")
-    # Rows with equal keys stand or fall together.
     inside = placed.filter(F.col("_m_whole") < most).join(crossing, ["_m_source", "_slice"])
-    inside = inside.groupBy("_m_source", "_budget", "_base", "_m_order", "_m_key").agg(F.sum("_m_size").alias("_words"))
-    run = source.orderBy("_m_order", "_m_key").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("_base") + F.sum("_words").over(run) - F.col("_words") / 2
-    left_out = inside.withColumn("_middle", middle).filter(F.col("_middle") > F.col("_budget"))
-    first = left_out.groupBy("_m_source").agg(F.min(F.struct("_m_order", "_m_key")).alias("_m_end"))
-    next_slice = F.struct(((F.col("_slice") + 1) / float(SLICES)).alias("_m_order"), F.lit("").alias("_m_key"))
-    return crossing.join(first, "_m_source", "left").select("_m_source", F.coalesce("_m_end", next_slice).alias("_m_end"))
+    inside = inside.groupBy("_m_source", "_budget", "_base", "_m_order", "_m_key", "_m_tie", "_m_size").agg(F.count("*").alias("_n"))
+    words = F.col("_n") * F.col("_m_size")
+    run = source.orderBy("_m_order", "_m_key", "_m_tie").rowsBetween(Window.unboundedPreceding, 0)
+    # The middle of the first of the equal rows; that of each next one lies their size further on.
+    inside = inside.withColumn("_middle", F.col("_base") + F.sum(words).over(run) - words + F.col("_m_size") / 2)
+    fits = F.floor(F.try_divide(F.col("_budget") - F.col("_middle"), F.col("_m_size"))) + 1
+    part = F.when(F.col("_middle") > F.col("_budget"), 0).when(F.col("_m_size") == 0, F.col("_n")).otherwise(F.least("_n", fits))
+    left_out = inside.withColumn("_part", part.cast("long")).filter(F.col("_part") < F.col("_n"))
+    first = left_out.groupBy("_m_source").agg(F.min(F.struct(F.struct("_m_order", "_m_key", "_m_tie").alias("end"), "_part")).alias("_first"))
+    next_slice = F.struct(((F.col("_slice") + 1) / float(SLICES)).alias("_m_order"), F.lit("").alias("_m_key"), F.lit(0).cast("long").alias("_m_tie"))
+    ends = crossing.join(first, "_m_source", "left")
+    return ends.select("_m_source", F.coalesce("_first.end", next_slice).alias("_m_end"), F.coalesce("_first._part", F.lit(0)).alias("_m_part"))

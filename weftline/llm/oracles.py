@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm.licenses import PHRASES, TEMPLATES
+from weftline.llm.licenses import PHRASES, TEMPLATES, LicenseScan
 from weftline.llm.quality import REFERENCES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,7 +77,8 @@ def _licenses() -> str:
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
     every = " || ".join(f"p{k}" for k in range(len(PHRASES)))
     return f"""WITH d AS (SELECT doc_id, {lower} AS t, regexp_extract_all({lower}, '{words}') AS w FROM documents), tpl(label, want) AS (VALUES {templates}),
-  lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), h AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{words}')) AS have FROM lines WHERE regexp_matches(line, 'licens|permission|redistribution|mozilla|gnu')),
+  s AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d), lines AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM s),
+  h AS (SELECT doc_id, list_distinct(regexp_extract_all(array_to_string(l[k:k + {LicenseScan.lines - 1}], ' '), '{words}')) AS have FROM lines),
   m AS (SELECT doc_id, label, len(list_intersect(have, want)) / len(want) AS c FROM h, tpl WHERE len(list_intersect(have, want)) >= 0.8 * len(want) - 1e-9),
   f AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS best FROM m GROUP BY 1),
   p AS (SELECT doc_id, len(w) AS n, {", ".join(f"{c} AS p{k}" for k, c in enumerate(places))} FROM d),

@@ -114,7 +114,7 @@ def ipv4(f: Feistel, found: str) -> str | None:
 
 
 def email(f: Feistel, found: str) -> str | None:
-    """The local part keeps its length and its marks, the domain stays; case is not kept."""
+    """The local part keeps its length, its marks and the places of capitals; the domain stays. Case tells none apart."""
     local, _, domain = found.lower().rpartition("@")
     inner = [c for c in local if c in ALPHABET]
     number = 0
@@ -126,7 +126,8 @@ def email(f: Feistel, found: str) -> str | None:
         number, k = divmod(number, len(ALPHABET))
         new.append(ALPHABET[k])
     it = reversed(new)
-    return "".join(next(it) if c in ALPHABET else c for c in local) + found[found.rindex("@") :]
+    name = (next(it) if c in ALPHABET else c for c in local)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(name, found, strict=False)) + found[found.rindex("@") :]
 
 
 def _iban_check(country: str, body: str) -> str:

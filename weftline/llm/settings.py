@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import SparkSession
 
 MODEL = "spark.weftline.pieces.model"
-KEY = "spark.weftline.pseudonyms.key"
+#: Spark redacts settings with "secret" in their names.
+KEY = "spark.weftline.pseudonyms.secret"
 
 
 def tokenizer(spark: SparkSession) -> str:
@@ -16,4 +19,8 @@ def tokenizer(spark: SparkSession) -> str:
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY, "weftline")
+    """The key of the pseudonyms. Set it to link values across runs; where it is unset, the session draws one of its own
+    that is never stored, so nobody can undo the pseudonyms."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)

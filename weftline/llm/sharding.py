@@ -74,8 +74,10 @@ def assign_shards(
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0, doc_id: str = "doc_id") -> None:
     """Write ``docs`` as Parquet files below ``path``/shard=N, each in the order of the slots.
 
-    The ids must be unique and not null here, since they join the rows to their places.
+    The ids join the rows to their places: a null or repeated id is refused with a ValueError before anything is written.
     """
+    if not docs.groupBy(doc_id).count().filter(F.col(doc_id).isNull() | (F.col("count") > 1)).isEmpty():
+        raise ValueError(f"{doc_id} is null or repeated")
     places = assign_shards(docs, shards, seed, doc_id).select(F.col("doc_id").alias("_id"), "shard", "slot")
     joined = docs.drop("shard", "slot").join(places, docs[doc_id] == places["_id"]).drop("_id")
     joined.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

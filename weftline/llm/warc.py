@@ -31,6 +31,7 @@ from pyspark.sql.datasource import (
 )
 
 from weftline.plans.lineage import checkpoint_dir
+from weftline.plans.spread import join_spread
 
 END = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -54,14 +55,14 @@ def warc_records(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id
     Of pages with one payload of at least ``least_bytes``, the one with the smallest id is written as a response and
     the others as revisits that refer to it; all smaller ones are responses. A null payload is empty, a null url is
     left out, and blanks in a url are percent-encoded. A page without an id is a response that names none. Rows that
-    repeat are records like others. Which payloads repeat is found on digests; no payload is shuffled for it unless
-    Spark chooses to.
+    repeat are records like others, and pages that share an id without sharing a payload are records of their own. Which
+    payloads repeat is found on digests; the rows of one digest are spread over tasks.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("body"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     repeated = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("bytes").alias("size"))
     repeated = repeated.filter((F.col("n") > 1) & (F.col("size") >= least_bytes)).select("digest", "first")
-    rows = rows.join(repeated, "digest", "left")
+    rows = join_spread(rows, repeated, ["digest"], F.coalesce("url", F.col("id").cast("string"), F.lit("")))
     revisit = F.coalesce(F.col("first") != F.col("id"), F.lit(False))
     where = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"\s", "%20")
     head = F.when(revisit, F.lit("HTTP/1.1 200 OK\r\n\r\n")).otherwise(F.lit(HTTP_HEAD))
@@ -94,8 +95,9 @@ def write_warc(records: DataFrame, path: str | None = None) -> str:
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The records of the archives below ``path``, as :class:`WarcSource` gives them.
 
-    Files are listed by Spark; filters on header columns are pushed into the source. Without ``payload`` contents are
-    skipped.
+    Files are listed by Spark, whose driver plans one name per archive as for any other source; filters on header
+    columns are pushed into the source, for which the session's ``spark.sql.python.filterPushdown.enabled`` is set.
+    Without ``payload`` contents are skipped. Archives may be one gzip stream or a gzip member per record.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -273,7 +275,8 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     """Per record of archives that :func:`warc_records` made: page_id, payload, payload_bytes, payload_digest, record_type, refers_to.
 
     Responses are read with their payloads, whose length and digest are computed anew; revisits are read without
-    contents, and take length and digest from the response they refer to. The payload of a revisit is null.
+    contents. Their header has the id of the response they refer to and the digest of its payload: both must agree, so
+    pages that share an id are told apart. The payload of a revisit is null.
     """
     found = read_warc(spark, path).filter(F.col("warc_type") == "response")
     responses = found.select(
@@ -281,8 +284,9 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
         base32_sha1(F.col("payload")).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
     )
     revisits = read_warc(spark, path, payload=False).filter(F.col("warc_type") == "revisit")
-    revisits = revisits.select(page_of(F.col("record_id")).alias("page_id"), page_of(F.col("refers_to")).alias("refers_to"))
-    known = responses.filter("page_id is not null").groupBy("page_id").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    resolved = revisits.join(known.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
+    stated = F.regexp_replace("payload_digest", "^sha1:", "")
+    revisits = revisits.select(page_of(F.col("record_id")).alias("page_id"), page_of(F.col("refers_to")).alias("refers_to"), stated.alias("payload_digest"))
+    known = responses.filter("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
+    resolved = join_spread(revisits, known, ["refers_to", "payload_digest"], F.coalesce("page_id", F.lit(0)))
     resolved = resolved.select("page_id", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return responses.unionByName(resolved)
