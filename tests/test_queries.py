@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from weftline.plans import analytics, clustering, ingestion, lists, registry, texts  # noqa: F401  queries register themselves
+from weftline.plans import analytics, clustering, decisions, ingestion, lists, registry, reports, texts  # noqa: F401  queries register themselves
 
 DATA = Path("/root/testdata/sf0.001")
 

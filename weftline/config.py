@@ -98,5 +98,8 @@ class Thresholds:
     tier_a_hours: float = 48.0
     tier_b: float = 0.88
     tier_b_hours: float = 72.0
+    near_miss: float = 0.85
+    title_bypass: float = 0.905
+    tier_b_bypass: bool = False
     decay_hours: float = 72.0
     shadow: tuple[float, ...] = field(default=(0.86, 0.87, 0.88, 0.89))

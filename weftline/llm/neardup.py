@@ -340,22 +340,23 @@ def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def text_classes(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, component) of the nodes (node, bytes, sketch) that aren't the smallest of their class.
 
-    The samples of the second round meet only where nodes are of different classes after the first.
+    First, all nodes meet in the buckets of a few samples. Then one node of each class meets in all buckets: this joins
+    most that belongs together without sending out whole classes. Last, all nodes meet in the buckets of the other
+    samples that still hold different classes. A bucket of one class has nothing to add.
     """
     found = cut(candidates(nodes))
     named = found.select("number").distinct()
     texts = texts.withColumn("number", F.xxhash64("node")).join(named, "number", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.first("number").alias("number"), F.first("bytes").alias("bytes"), F.first("text").alias("text")))
     sizes = texts.select("number", "node", "bytes")
-    edges = classes = None
-    for first in (True, False):
-        members = found.filter(F.col("first") == first).join(sizes, "number")
-        if classes is None:
-            members = members.withColumn("class", F.col("node"))
-        else:
-            members = members.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-        new = links(cut(members.select("key", "node", "class", "bytes")), texts, least)
-        edges = new if edges is None else edges.unionByName(new)
+    members = cut(join_spread(found, sizes, ["number"], "key", "inner").select("key", "first", "node", "bytes"))
+    edges = links(members.filter("first").withColumn("class", F.col("node")), texts, least)
+    classes = connected_components(edges, "node", "root")
+    for one_each in (True, False):
+        met = join_spread(members if one_each else members.filter("not first"), classes, ["node"], "key").withColumn("class", F.coalesce("component", "node"))
+        if one_each:
+            met = met.groupBy("key", "class").agg(F.min(F.struct("node", "bytes")).alias("least")).select("key", "class", "least.*")
+        edges = edges.unionByName(links(cut(met.select("key", "node", "class", "bytes")), texts, least))
         classes = connected_components(edges, "node", "root")
     return classes
 
