@@ -321,3 +321,30 @@ def test_aliases_and_terms_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in lists.all_aliases(spark, str(tmp_path)).collect()} == {(0, "DE-DER,EN-THE"), (1, "ES-LA")}
     assert dict(map(tuple, ingestion.whole_terms(spark, str(tmp_path)).collect())) == {k: "short term" if k == 4 else None for k in range(7)}
+
+
+def test_legacy_points_equal_plain_python(spark):
+    """The best story of every article by points worked out one by one; SQL halves odd transpositions otherwise."""
+    import re
+
+    from weftline.functions.python import jaro_winkler_text
+    from weftline.plans import decisions
+
+    data = "/root/testdata/sf0.001"
+    articles, stories = (f.collect() for f in decisions.legacy_frames(spark, data))
+
+    def plain(t):
+        return " ".join(re.sub(r"[^a-z0-9_\s]", "", t.lower()).split())
+
+    def points(a, s):
+        x, y = plain(a["a_title"]), plain(s["s_title"])
+        j = 1.0 if x and x == y else round(jaro_winkler_text(x, y), 6)
+        title = 45 if j >= 1 else int(40 + (j - 0.85) * 33) if j > 0.85 else int(28 + (j - 0.7) * 80) if j > 0.7 else int(15 + (j - 0.5) * 65) if j > 0.5 else int(j * 30)
+        hours = abs((a["a_published_at"] - s["s_first_seen"]).total_seconds()) / 3600
+        return 30 * (a["a_url"] == s["s_url"]) + title + (10 if hours <= 24 else 5 if hours <= 48 else 0) + 5 * (a["a_actor"] is not None and a["a_actor"] == s["s_actor"])
+
+    found = {r["article"]: (r["points"], r["story"], r["attached"]) for r in decisions.legacy_points(spark, data).collect()}
+    for a in articles:
+        best, less = max((points(a, s), -s["story"]) for s in stories)
+        assert found[a["article"]] == (best, -less, best >= 65)
+    assert any(attached for _, _, attached in found.values())

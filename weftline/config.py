@@ -76,6 +76,48 @@ OTHER_CATEGORY = "gov_ops_workforce"
 # Points of words that raise the impact score.
 IMPACT = ((("emergency",), 20), (("national security",), 15), (("immediately",), 10), (("suspend",), 15), (("terminate",), 15), (("billion", "million"), 10))
 
+# Headlines that alarm, that only seem to be good news, and that are.
+ALARMED = (
+    "insurrection", "coup", "fascis", "authoritarian", r"martial\s+law", r"mass\s+deportation", r"constitutional\s+crisis", "impeach", "indicted?", "arrested", "raided?", r"charged\s+with",
+    r"emergency\s+powers?", r"suspend(ed|s)?\s+(rights|constitution|habeas)", "dictator|dictatorship",
+)
+URGENT = "breaking|urgent|emergency|crisis"
+NEGATED = (
+    r"\bblock(?:ed|s|ing)?\s+(?:\w+\s+){0,3}(aid|relief|funding|assistance|access|investigation|inquiry|oversight|probe|subpoena|testimony)\b",
+    r"\bstop(?:ped|s|ping)?\s+(?:\w+\s+){0,3}(aid|relief|funding|assistance|access|investigation|inquiry|oversight|probe|subpoena|testimony)\b",
+    r"\boverturned\s+(?:\w+\s+){0,2}(protection|rights|ruling|decision)\b", r"\bstruck\s+down\s+(?:\w+\s+){0,2}(protection|rights|law)\b",
+)
+CREDIT = (r"victory\s+for", r"wins?\s+(case|suit|ruling|appeal)", r"court\s+rules?\s+against", "blocked", "stopped", "defeated", "overturned", r"struck\s+down", "dismissed", "acquitted", "exonerated", "protected", "restored")
+# Words of feed topics and the pool that they lead to, first match wins.
+POOLS = (("investigations", ("investigation", "corruption", "accountability", "watchdog")), ("policy", ("policy", "legislation", "congress", "analysis")))
+
+# Places in the order in which they are looked for.
+COUNTRIES = (
+    "united states", "usa", "china", "russia", "ukraine", "israel", "iran", "north korea", "south korea", "japan", "germany", "france", "united kingdom", "uk", "canada", "mexico", "brazil", "india",
+    "pakistan", "syria", "iraq", "afghanistan", "gaza", "palestine",
+)
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID",
+    "illinois": "IL", "indiana": "IN", "iowa": "IA", "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN",
+    "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ", "new mexico": "NM", "new york": "NY", "north carolina": "NC",
+    "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR", "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT",
+    "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+}
+CITIES = (
+    "new york", "los angeles", "chicago", "houston", "phoenix", "philadelphia", "san antonio", "san diego", "dallas", "san jose", "austin", "jacksonville", "fort worth", "columbus", "charlotte", "san francisco",
+    "indianapolis", "seattle", "denver", "washington", "boston", "detroit", "nashville", "memphis", "portland", "las vegas", "baltimore", "milwaukee", "atlanta", "miami", "oakland", "minneapolis", "tampa", "new orleans",
+)
+
+# Patterns of entity ids with a wrong prefix, that say little, and that are programs rather than events.
+WRONG_PREFIX = r"^US-(PETRO|MACHADO|ROBISON|KHAN|ORBAN|MADURO|XI|ERDOGAN|STARMER|FARAGE|TEDROS|RAE|LOPEZ|AL-SHARA|BUKELE)"
+GENERIC_ENTITY = r"^(EVT-ELECTION|EVT-ELECTIONS|EVT-CAMPAIGN|EVT-PRIMARY|EVT-CONGRESSIONAL|EVT-GOVERNORS|EVT-SPECIAL-ELECTION|EVT-MIDTERMS|EVT-2026|EVT-2028|ORG-HOUSE|ORG-ADMINISTRATION|EVT-CULTURE-WARS)"
+PROGRAM_ENTITY = r"^EVT-(SNAP|ACA|H1B|GLP1|TYLENOL|CHIP-EXPORTS|ASYLUM|IMMIGRATION|TARIFFS?|ECONOMY|FREE-SPEECH|TRANS-IDENTITY)"
+LOW_VALUE = (r"^US-[A-Z]+-[A-Z]+$", r"^EVT-[A-Z]+-[A-Z]+-[A-Z]+", r"^ORG-[A-Z]{2,3}$")
+# Slugs too common to tell stories apart.
+GENERIC_SLUGS = ("us-politics", "immigration", "foreign-policy", "breaking", "news", "analysis", "politics", "world")
+# Prefixes of entity codes that names are shown without.
+CODE_PREFIXES = ("US-", "ORG-", "INTL-", "STATE-", "GOV-")
+
 
 @dataclass(frozen=True)
 class Thresholds:

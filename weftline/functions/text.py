@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 from weftline import config
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -239,8 +245,131 @@ def possessive(c: Column) -> Column:
 
 
 def display_name(code: Column) -> Column:
-    """US-JOHN-SMITH as John Smith."""
-    return F.initcap(F.replace(F.regexp_replace(code, "^[A-Z]{2,3}-", ""), F.lit("-"), F.lit(" ")))
+    """US-JOHN-SMITH as John Smith; what isn't a code, without a hyphen or of under four characters, stays."""
+    bare = F.regexp_replace(code, "^(?:" + "|".join(config.CODE_PREFIXES) + ")", "")
+    words = F.transform(F.split(bare, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
+    return F.when(~code.contains("-") | (F.length(code) < 4), code).otherwise(F.array_join(words, " "))
+
+
+def primary_actor(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first pattern that the text has, else the name before its first possessive, else null."""
+    return F.coalesce(first_pattern(c, table), F.upper(F.replace(possessive(c), F.lit(" "), F.lit("-"))))
+
+
+def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [c.rlike(p) for p in patterns])
+
+
+def frame(headline: Column, tier: Column) -> Column:
+    """How a headline is told: alarmed, grudging_credit or critical; urgent words alarm in feeds of the first tier only."""
+    low = F.lower(F.coalesce(headline, F.lit("")))
+    urgent = F.coalesce((tier == 1) & low.rlike(config.URGENT), F.lit(False))
+    return F.when(any_of(low, config.ALARMED) | urgent, "alarmed").when(any_of(low, config.NEGATED), "critical").when(any_of(low, config.CREDIT), "grudging_credit").otherwise("critical")
+
+
+def pool(topics: Column) -> Column:
+    """The pool of a feed by the first group of words that any of its topics has."""
+
+    def holds(words: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda t: reduce(Column.__or__, [t.contains(w) for w in words])
+
+    low = F.transform(F.coalesce(topics, F.array().cast("array<string>")), lambda t: F.lower(t))
+    found = [F.when(F.exists(low, holds(words)), F.lit(name)) for name, words in config.POOLS]
+    return F.coalesce(*found, F.lit("general"))
+
+
+def geography(c: Column) -> Column:
+    """Struct of country, state and city by the first name of each list that the text has as a substring.
+
+    Abbreviations of states count as substrings too, as they do in the rule that this follows, so two letters of any word may
+    name one. A state or a city makes the country USA; null if nothing is found.
+    """
+    low = F.lower(c)
+    country = F.coalesce(*(F.when(low.contains(x), F.lit(x.upper())) for x in config.COUNTRIES))
+    state = F.coalesce(*(F.when(low.contains(name) | low.contains(code.lower()), F.lit(code)) for name, code in config.STATES.items()))
+    city = F.coalesce(*(F.when(low.contains(x), F.lit(x)) for x in config.CITIES))
+    country = F.when(state.isNotNull() | city.isNotNull(), "USA").otherwise(country)
+    return F.when(country.isNotNull(), F.struct(country.alias("country"), state.alias("state"), city.alias("city")))
+
+
+def keyphrases(c: Column, stop: tuple[str, ...], most: int = 10) -> Column:
+    """The most frequent words and pairs of neighbours among a text's words of three letters or more that aren't in ``stop``; equal counts go by the phrase."""
+    none = F.array().cast("array<string>")
+    words = F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*stop))
+
+    def phrases(w: Column) -> Column:
+        pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.concat_ws(" ", F.get(w, k - 1), F.get(w, k))))
+        return F.array_sort(F.concat(w, F.coalesce(pairs, none)))
+
+    # In order, equal phrases are neighbours: each first one's count is the way to the next first one.
+    def starts(p: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k) != F.get(p, k - 1)))
+
+    def top(x: Column) -> Column:
+        counted = F.transform(x["s"], lambda k, i: F.struct((k - F.coalesce(F.get(x["s"], i + 1), F.size(x["p"]))).alias("less"), F.get(x["p"], k).alias("phrase")))
+        return F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: x["phrase"])
+
+    # Arrays of one element bind what is used often to a name, so that it is computed once.
+    listed = F.filter(F.transform(F.array(words), phrases), lambda p: F.size(p) > 0)
+    found = F.transform(F.transform(listed, lambda p: F.struct(p.alias("p"), starts(p).alias("s"))), top)
+    return F.coalesce(F.get(found, F.lit(0)), none)
+
+
+def times32(a: Column, b: int) -> Column:
+    """The low 32 bits of a product of two 32-bit numbers."""
+    high = F.pmod(F.shiftrightunsigned(a, 16) * F.lit(b), F.lit(2**16)) * 2**16
+    return F.pmod(high + a.bitwiseAND(F.lit(0xFFFF)) * F.lit(b), F.lit(2**32))
+
+
+def fnv1a(c: Column) -> Column:
+    """The 32-bit FNV-1a hash of the characters' code points."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: times32(h.bitwiseXOR(x), 16777619))
+
+
+def quote_hash(c: Column) -> Column:
+    """A 64-bit fingerprint: two 32-bit hashes of the characters, mixed at the end; characters beyond the BMP count once."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+
+    def run(start: int, factor: int) -> Column:
+        return F.aggregate(codes, F.lit(start).cast("long"), lambda h, x: times32(h.bitwiseXOR(x), factor))
+
+    def mixed(a: Column, b: Column) -> Column:
+        left = times32(a.bitwiseXOR(F.shiftrightunsigned(a, 16)), 2246822507)
+        return left.bitwiseXOR(times32(b.bitwiseXOR(F.shiftrightunsigned(b, 13)), 3266489909))
+
+    h1, h2 = run(0xDEADBEEF, 2654435761), run(0x41C6CE57, 1597334677)
+    h1 = mixed(h1, h2)
+    h2 = mixed(h2, h1)
+    signed = lambda h: F.when(h >= 2**31, h - 2**32).otherwise(h)
+    return signed(h2) * 2**32 + signed(h1)
+
+
+def quote_fingerprints(c: Column, characters: int = 12, words: int = 12) -> Column:
+    """Fingerprints of the texts in double quotes that have enough characters and words, in their order."""
+    found = F.regexp_extract_all(c, F.lit(f'"([^"]{{{characters},}})"'), F.lit(1))
+    plain = F.transform(found, lambda q: F.trim(F.regexp_replace(F.replace(F.translate(F.lower(q), "‘’“”", "''\"\""), F.lit("—"), F.lit("-")), r"\s+", " ")))
+    return F.transform(F.filter(plain, lambda q: F.size(F.split(q, " ")) >= words), quote_hash)
+
+
+def valid_slug_overlap(a: Column, b: Column, generic: tuple[str, ...]) -> Column:
+    """Both have a slug in common that isn't one of the generic ones."""
+    common = F.array_except(F.array_intersect(a, b), F.array(*map(F.lit, generic)).cast("array<string>"))
+    return F.coalesce(F.size(common) > 0, F.lit(False))
+
+
+def decode_numeric(c: Column) -> Column:
+    """Numeric character references, decimal or hexadecimal, as the characters they stand for; numbers that name none stay."""
+    def replaced(text: Column, digits: Column, head: str, base: int) -> Column:
+        code = F.conv(digits, base, 10).cast("long")
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(good, F.replace(text, F.concat(F.lit(head), digits, F.lit(";")), letter)).otherwise(text)
+
+    hexadecimal = F.array_distinct(F.regexp_extract_all(c, F.lit("&#x([0-9a-fA-F]{1,6});"), F.lit(1)))
+    c = F.aggregate(hexadecimal, c, lambda text, d: replaced(text, d, "&#x", 16))
+    decimal = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,7});"), F.lit(1)))
+    return F.aggregate(decimal, c, lambda text, d: replaced(text, d, "&#", 10))
 
 
 def section(c: Column, start: str, end: str) -> Column:

@@ -104,3 +104,28 @@ def merge_stories(stories: DataFrame, links: DataFrame, wanted: DataFrame, cap:
         )
     )
     return after, moved, result
+
+
+def merge_lanes(pairs: DataFrame, days: int = 7, sim_two: float = 0.85, sim_three: float = 0.75) -> DataFrame:
+    """``pairs`` (a_/b_ entities and seen times, sim) with shared_count, decision, lane, passed and blocked_by: whether two stories may merge, and why not.
+
+    Three shared entities ask for less similarity than two; one or none is never enough. The first reason that blocks is given; what
+    was passed before it is listed.
+    """
+    has = (F.size("a_entities") > 0) & (F.size("b_entities") > 0)
+    n = F.greatest(F.size(F.array_intersect("a_entities", "b_entities")), F.lit(0))
+    gap = F.abs(F.unix_micros(F.col("a_seen").cast("timestamp")) - F.unix_micros(F.col("b_seen").cast("timestamp"))) / 8.64e10
+    sim = F.col("sim")
+    blocked = (
+        F.when(sim.isNull() | F.isnan(sim), "SIM_INVALID").when(~F.coalesce(has, F.lit(False)), "NO_ENTITIES").when(F.col("a_seen").isNull() | F.col("b_seen").isNull(), "NO_TIME").when(gap > days, "TIME_WINDOW")
+        .when((n >= 3) & (sim < sim_three), "LOW_SIM_3").when((n == 2) & (sim < sim_two), "LOW_SIM_2").when(n == 1, "1_ENTITY_LANE_DISABLED").when(n == 0, "NO_ENTITY_OVERLAP")
+    )
+    entities, early = F.coalesce(has, F.lit(False)) & sim.isNotNull(), F.array(*map(F.lit, ("SIM_INVALID", "NO_ENTITIES", "NO_TIME", "TIME_WINDOW")))
+    timed = ~F.coalesce(F.array_contains(early, blocked), F.lit(False))
+    passed = F.array_compact(
+        F.array(
+            F.when(entities, "HAS_ENTITIES"), F.when(timed, "TIME_WINDOW_OK"), F.when(timed & (n >= 3), "ENTITY_OVERLAP_3+").when(timed & (n == 2), "ENTITY_OVERLAP_2").when(timed & (n == 1), "ENTITY_OVERLAP_1"),
+            F.when(blocked.isNull(), F.when(n >= 3, "SIM_3_OK").otherwise("SIM_2_OK")),
+        )
+    )
+    return pairs.withColumns({"shared_count": n, "decision": blocked.isNull(), "lane": F.when(blocked.isNull(), "multi_entity"), "passed": F.array_join(passed, ","), "blocked_by": blocked})

@@ -45,3 +45,15 @@ def search_term(c: Column) -> Column:
     term = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     bad = (F.length(term) < 2) | (F.length(term) > 80) | term.rlike(r"@|https?:|[0-9]{7,}|[<>{}]")
     return F.when(~bad, term)
+
+
+def entity_issues(counts: DataFrame) -> DataFrame:
+    """``counts`` (id, n) with flags: wrong_prefix, generic, program, singleton, low_value, and duplicate for a name under several prefixes."""
+    i, one = F.col("id"), F.col("n") == 1
+    marked = counts.withColumns({"_prefix": F.regexp_extract(i, "^([A-Z]{2,3})-.+$", 1), "_name": F.regexp_extract(i, "^[A-Z]{2,3}-(.+)$", 1)})
+    several = marked.filter("_name <> ''").groupBy("_name").agg(F.countDistinct("_prefix").alias("_k")).filter("_k > 1").select("_name", F.lit(True).alias("_several"))
+    flags = {
+        "wrong_prefix": i.rlike(f"(?i){config.WRONG_PREFIX}"), "generic": i.rlike(f"(?i){config.GENERIC_ENTITY}"), "program": i.rlike(f"(?i){config.PROGRAM_ENTITY}"), "singleton": one,
+        "low_value": one & any_pattern(i, config.LOW_VALUE), "duplicate": F.coalesce("_several", F.lit(False)),
+    }
+    return marked.join(several, "_name", "left").withColumns(flags).drop("_prefix", "_name", "_several")

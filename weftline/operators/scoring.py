@@ -85,21 +85,26 @@ def slug_match(article: Column, stories: Column, t: config.Thresholds | None = N
     The first slug with the greatest share counts, even if a later one with the same share would pass.
     """
     t = t or config.Thresholds()
-    own = T.slug_tokens(article)
     roots = F.array(*map(F.lit, sorted(set(config.EVENT_ROOTS.values()))))
 
-    def compare(slug: Column) -> Column:
-        other = T.slug_tokens(slug)
-        common = F.array_intersect(own, other)
-        count = F.size(common)
-        share = F.when((F.size(own) >= 2) & (F.size(other) >= 2), count / F.least(F.size(own), F.size(other))).otherwise(0.0)
-        event = F.exists(common, lambda x: x.isin(*config.HIGH_SIGNAL_EVENTS))
-        anchor = F.size(F.array_except(common, roots)) > 0
-        passes = (count >= t.overlap_count) & (share >= t.overlap_share) & event & anchor
-        return F.struct(share.alias("share"), count.alias("count"), event.alias("event"), anchor.alias("anchor"), passes.alias("passes"))
+    def compare(own: Column, other: Column) -> Column:
+        def figures(common: Column) -> Column:
+            count = F.size(common)
+            share = F.when((F.size(own) >= 2) & (F.size(other) >= 2), count / F.least(F.size(own), F.size(other))).otherwise(0.0)
+            event = F.exists(common, lambda x: x.isin(*config.HIGH_SIGNAL_EVENTS))
+            anchor = F.size(F.array_except(common, roots)) > 0
+            passes = (count >= t.overlap_count) & (share >= t.overlap_share) & event & anchor
+            return F.struct(share.alias("share"), count.alias("count"), event.alias("event"), anchor.alias("anchor"), passes.alias("passes"))
+
+        return T.let(F.array_intersect(own, other), figures)
 
     none = F.struct(F.lit(0.0).alias("share"), F.lit(0).alias("count"), F.lit(False).alias("event"), F.lit(False).alias("anchor"), F.lit(False).alias("passes"))
-    return F.aggregate(F.transform(stories, compare), none, lambda best, x: F.when(x["share"] > best["share"], x).otherwise(best))
+
+    def best(own: Column) -> Column:
+        found = F.transform(stories, lambda slug: T.let(T.slug_tokens(slug), lambda other: compare(own, other)))
+        return F.aggregate(found, none, lambda top, x: F.when(x["share"] > top["share"], x).otherwise(top))
+
+    return T.let(T.slug_tokens(article), best)
 
 
 def guardrail(sim: Column, exact_slug: Column, slug_tokens: Column, shared_entities: Column, title: Column, t: config.Thresholds | None = None) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.lineage import cut
-from weftline.plans.spread import join_spread
+from weftline.plans.spread import SALTS
+
+#: Edges that one task reads at least.
+EDGES = 100_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,12 +24,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(ends.filter("ok").select("u", "v").distinct())
     state = _fingerprint(now)
     while state[0]:
+        # Few edges are read by few tasks, however many partitions the step before left.
+        now = now.coalesce(-(-state[0] // EDGES))
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = join_spread(both, least, ["u"], "v", "inner").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_spread(large, root, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        following = cut(small.union(root.select("u", F.col("m").alias("v"))).distinct())
+        large = _with_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _with_least(large).select("u", "v", "m")
+        hung = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        following = cut(hung.select("e.u", "e.v").filter("u <> v").distinct())
         before, state = state, _fingerprint(following)
         now = following
         if state == before:
@@ -34,6 +38,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with ``m``, the smallest v of their u. A node's edges are dealt to slices; only one row of each slice meets the others."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    slices = salted.groupBy("u", "_salt").agg(F.min("v").alias("m"))
+    slices = slices.withColumn("m", F.min("m").over(Window.partitionBy("u")))
+    return salted.join(slices, ["u", "_salt"])
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
