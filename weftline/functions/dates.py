@@ -29,3 +29,13 @@ def call_cost(prompt: Column, completion: Column, per_prompt: float = 0.0025, pe
 
 def backoff_minutes(attempts: Column) -> Column:
     return F.pow(F.lit(2), F.least(attempts, F.lit(10))).cast("int")
+
+
+def rel_date(now: Column, at: Column) -> Column:
+    """today, yesterday, or days, weeks, months or years ago in rounded units."""
+    days = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000 + 0.5)
+
+    def units(size: int, letters: str) -> Column:
+        return F.concat(F.floor(days / size + 0.5).cast("string"), F.lit(f"{letters} ago"))
+
+    return F.when(days == 0, "today").when(days == 1, "yesterday").when(days < 7, units(1, "d")).when(days < 30, units(7, "w")).when(days < 365, units(30, "mo")).otherwise(units(365, "y"))

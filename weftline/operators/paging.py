@@ -107,3 +107,17 @@ def page_window(current: int, total: int) -> list[int | None]:
             out.append(None)
         out.append(page)
     return out
+
+
+def parse_cursor(cursor: Column) -> Column:
+    """Struct of value and id of a ``value::id`` cursor; null, which stands for the first page, if it is malformed."""
+    value, row_id = F.regexp_extract(cursor, "^(.+)::(-?[0-9]{1,18})$", 1), F.regexp_extract(cursor, "^(.+)::(-?[0-9]{1,18})$", 2)
+    return F.when(row_id != "", F.struct(value.alias("value"), row_id.cast("long").alias("id")))
+
+
+def shown_pages(current: Column, total: Column) -> Column:
+    """Page numbers to show around the current one, with the first and the last; null for a gap."""
+    near = F.sequence(F.greatest(current - 1, F.lit(1)), F.least(current + 1, total))
+    pages = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1).cast("long"), total), near)))
+    with_gaps = F.flatten(F.transform(pages, lambda p, k: F.when((k > 0) & (p - F.get(pages, F.greatest(k - 1, F.lit(0))) > 1), F.array(F.lit(None).cast("long"), p)).otherwise(F.array(p))))
+    return F.when(total > 0, with_gaps).otherwise(F.array().cast("array<bigint>"))

@@ -70,3 +70,29 @@ def publication_dates(pages: DataFrame) -> DataFrame:
     found.append(F.try_to_date(F.replace(F.regexp_extract("url", r"/(\d{4}/\d{2}/\d{2})/", 1), F.lit("/"), F.lit("-")), "yyyy-MM-dd"))
     day = F.coalesce(*found)
     return pages.select("page_id", F.when(F.year(day).between(2000, 2030), F.date_format(day, "yyyy-MM-dd")).alias("published"))
+
+
+def clemency_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, name, clemency_type, granted, source_key) of tables under dated headings; headings whose date can't be read give none.
+
+    A heading is a date and counts of what was granted; rows have four cells or more. The key is made of the name in lower case and the date.
+    """
+    parts = F.slice(F.split(html, "(?i)<h3[^>]*>"), F.lit(2), F.lit(2**30))
+    p = pages.select("page_id", F.explode(parts).alias("part")).select("page_id", F.regexp_extract("part", "(?is)^(.*?)</h3>", 1).alias("head"), "part")
+    kind = F.when(F.lower("head").contains("commutation"), "commutation").when(F.lower("head").rlike("pre-?emptive"), "pre_emptive").otherwise("pardon")
+    date = F.trim(F.regexp_replace("head", r"(?i)\s*-\s*\d+\s*(pardon|commutation)s?(\s*\(amended\))?(\s+and\s+\d+\s*(pardon|commutation)s?)?", ""))
+    day = F.try_to_timestamp(date, F.lit("MMMM d, yyyy")).cast("date")
+    rows = p.select("page_id", kind.alias("clemency_type"), F.date_format(day, "yyyy-MM-dd").alias("granted"), F.explode(F.regexp_extract_all("part", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row")).filter("granted is not null")
+    cells = F.transform(F.regexp_extract_all("row", F.lit("(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", "")))
+    rows = rows.withColumn("cells", cells).filter(F.size("cells") >= 4)
+    name = F.get("cells", F.lit(0))
+    key = F.substring(F.sha2(F.concat(F.lower(name), F.lit("|"), F.col("granted")), 256), 1, 16)
+    return rows.select("page_id", name.alias("name"), "clemency_type", "granted", key.alias("source_key"))
+
+
+def headline_articles(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, title, url, url_hash) of linked headings of 20 characters or more, once per page and link."""
+    found = F.regexp_extract_all(html, F.lit("(?is)<h[23][^>]*>\\s*(<a[^>]*href=.*?</a>)\\s*</h[23]>"), F.lit(1))
+    a = pages.select("page_id", F.explode(F.array_distinct(found)).alias("a"))
+    a = a.select("page_id", F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]*>", ""), r"\s+", " ")).alias("title"), F.regexp_extract("a", """(?i)href=["']([^"']*)["']""", 1).alias("url"))
+    return a.filter((F.length("title") >= 20) & (F.col("url") != "")).withColumn("url_hash", F.sha2("url", 256)).distinct()
