@@ -25,9 +25,9 @@ from weftline.plans.spread import join_spread
 
 WORDS = 5
 SIMILARITY = 0.8
-#: With half of the shingles in common, odds of 0.125 for one sample to agree, and of 5 in 1,000 for none.
+#: With half of the shingles in common, odds of 0.125 for one sample to agree, and of 2 in 100 for none.
 PER_SAMPLE = 3
-SAMPLES = 40
+SAMPLES = 28
 #: Samples of the first round. What it links needn't be compared again in the second, which takes the others.
 FIRST_ROUND = 4
 ROWS = 512
@@ -198,7 +198,7 @@ class Joined:
         self.root[b] = a
 
 
-def spanning_links(words: list[np.ndarray], left: int, least: float, known: list[str]) -> Joined:
+def spanning_links(words: list[np.ndarray], left: int, least: float, known: list) -> Joined:
     """Sets of the rows that links of similarity ``least`` connect; rows before ``left`` meet the others, or with 0 all meet.
 
     Rows with one name in ``known`` are connected already. For one row after another, its words' postings count what it
@@ -206,7 +206,7 @@ def spanning_links(words: list[np.ndarray], left: int, least: float, known: list
     ``least`` are aligned, unless links found before connect them.
     """
     sets = Joined(len(words))
-    first: dict[str, int] = {}
+    first: dict[bytes, int] = {}
     for k, name in enumerate(known):
         sets.join(first.setdefault(name, k), k)
     marks = [labelled(w) if len(w) else w for w in words]
@@ -251,7 +251,7 @@ def _compared(least: float):
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 and (found := list(one(held))):
-                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root"])
 
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -283,7 +283,7 @@ def buckets(members: DataFrame) -> DataFrame:
     Of buckets with the same nodes one is enough; most nodes agree with the same others in several samples. ``blocks``
     says how many blocks hold the bucket's texts, ``own`` is the node's block and ``hub`` the bucket's smallest node.
     """
-    marks = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"mark{k}") for k in range(2)]
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]
     span = [F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct("node", "class")).alias("hub")]
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), *span, *marks).filter("low <> high")
     chosen = sizes.groupBy("size", "mark0", "mark1").agg(F.min(F.struct("key", "bytes", "hub")).alias("b"))
@@ -296,7 +296,7 @@ def buckets(members: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Compare inside (key, low, high): rows have node, class and side; texts are joined here."""
     rows = rows.join(texts.select("node", "text"), "node").repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
-    return cut(rows.mapInArrow(_compared(least), "key long, node string, root string"))
+    return cut(rows.mapInArrow(_compared(least), "key long, node binary, root binary"))
 
 
 def _rows(rows: DataFrame, low: Column, high: Column, side: Column) -> DataFrame:
@@ -349,15 +349,15 @@ def text_classes(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     texts = texts.withColumn("number", F.xxhash64("node")).join(named, "number", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.first("number").alias("number"), F.first("bytes").alias("bytes"), F.first("text").alias("text")))
     sizes = texts.select("number", "node", "bytes")
-    members = cut(join_spread(found, sizes, ["number"], "key", "inner").select("key", "first", "node", "bytes"))
-    edges = links(members.filter("first").withColumn("class", F.col("node")), texts, least)
-    classes = connected_components(edges, "node", "root")
+    members = cut(found.join(sizes, "number").select("key", "first", "node", "bytes"))
+    classes = connected_components(links(members.filter("first").withColumn("class", F.col("node")), texts, least), "node", "root")
     for one_each in (True, False):
-        met = join_spread(members if one_each else members.filter("not first"), classes, ["node"], "key").withColumn("class", F.coalesce("component", "node"))
+        met = (members if one_each else members.filter("not first")).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
         if one_each:
             met = met.groupBy("key", "class").agg(F.min(F.struct("node", "bytes")).alias("least")).select("key", "class", "least.*")
-        edges = edges.unionByName(links(cut(met.select("key", "node", "class", "bytes")), texts, least))
-        classes = connected_components(edges, "node", "root")
+        more = links(cut(met.select("key", "node", "class", "bytes")), texts, least)
+        # What is known hangs on the smallest node of its class already.
+        classes = connected_components(classes.withColumnRenamed("component", "root").unionByName(more), "node", "root")
     return classes
 
 
@@ -374,8 +374,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "d
     and a text get equal results; different texts under one id are different documents. An empty table gives no rows;
     extra columns are ignored. Texts are shuffled for candidates only.
     """
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.md5(F.col(text)).alias("node"), F.octet_length(F.col(text)).cast("long").alias("bytes"))
-    rows = cut(named.mapInArrow(_sketched, "doc_id long, node string, bytes long, sketch array<long>"))
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("node"), F.octet_length(F.col(text)).cast("long").alias("bytes"))
+    rows = cut(named.mapInArrow(_sketched, "doc_id long, node binary, bytes long, sketch array<long>"))
     usable = rows.filter("node is not null and doc_id is not null")
     nodes = usable.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bytes").alias("bytes"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes)
@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "d
     placed = join_spread(ids, by_class, ["class"], "node", "inner").select("node", "class_id", "n_texts")
     own = F.col("node").isNull() | F.col("doc_id").isNull()
     out = join_spread(rows.select("doc_id", "node"), placed, ["node"], "doc_id", "left").select(
-        "doc_id", F.col("node").alias("text_md5"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", F.lower(F.hex("node")).alias("text_md5"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.lit(1)).otherwise(F.col("n_texts")).cast("long").alias("n_texts"),
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
