@@ -348,3 +348,41 @@ def test_legacy_points_equal_plain_python(spark):
         best, less = max((points(a, s), -s["story"]) for s in stories)
         assert found[a["article"]] == (best, -less, best >= 65)
     assert any(attached for _, _, attached in found.values())
+
+
+def test_components_of_a_star_with_many_leaves(spark):
+    """Leaves of one root are spread over tasks; chains and loops end at the smallest node."""
+    from weftline.plans.graph import connected_components
+
+    star = spark.range(1, 100_001).selectExpr("id as a", "0L as b")
+    chain = spark.createDataFrame([(200_000 + k, 200_001 + k) for k in range(30)] + [(300_000, 300_000), (300_001, None)], "a long, b long")
+    found = {r["node"]: r["component"] for r in connected_components(star.unionByName(chain)).collect()}
+    assert len(found) == 100_030
+    assert all(found[k] == 0 for k in range(1, 100_001)) and all(found[200_001 + k] == 200_000 for k in range(30))
+
+
+def test_spread_joins_equal_plain_joins(spark):
+    from weftline.plans.spread import join_spread
+
+    rows = spark.createDataFrame([(k % 3 if k % 7 else None, k) for k in range(500)], "key long, id long")
+    facts = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "key long, fact string")
+    for how in ("left", "inner"):
+        assert sorted(map(str, join_spread(rows, facts, ["key"], "id", how).select("key", "id", "fact").collect())) == sorted(map(str, rows.join(facts, "key", how).select("key", "id", "fact").collect()))
+
+
+def test_web_searches_and_cursors(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import paging, search
+
+    texts = ["The tax bills passed", "A bill on taxes", "passing the tax", "tax bill", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("v", search.phrase_vector(F.col("t")))
+    find = lambda q: [r["id"] for r in df.filter(search.websearch(F.col("v"), q)).orderBy("id").collect()]
+    assert find('"tax bill"') == [0, 3]
+    assert find("tax -passed") == [3]
+    assert find('"on taxes" OR pass') == [0, 1, 2]
+    assert find("") == find('""') == find(" - ") == []
+    c = spark.createDataFrame([("a::b::-7",), ("x::",), ("::5",), (None,)], "c string").select(paging.parse_cursor(F.col("c")).alias("p")).collect()
+    assert [r["p"] and tuple(r["p"]) for r in c] == [("a::b", -7), None, None, None]
+    pages = spark.createDataFrame([(1, 1), (5, 9), (2, 3), (1, 0)], "n long, total long").select(paging.shown_pages(F.col("n"), F.col("total")).alias("p")).collect()
+    assert [r["p"] for r in pages] == [[1], [1, None, 4, 5, 6, None, 9], [1, 2, 3], []]
