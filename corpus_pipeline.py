@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm import mixing, neardup, pieces, pseudonyms, quality
 from weftline.llm.settings import pseudonym_key, tokenizer
 from weftline.plans.lineage import cut
+from weftline.plans.spread import join_spread
 
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = cut(neardup.near_duplicates(docs))
     named = found.filter("doc_id is not null and text_md5 is not null")
     first = named.filter("kept").groupBy("class_id").agg(F.min("text_md5").alias("_first"))
-    dropped = named.join(first, "class_id").filter(~F.col("kept") | (F.col("text_md5") != F.col("_first")))
+    dropped = join_spread(named, first, ["class_id"], "doc_id", "inner").filter(~F.col("kept") | (F.col("text_md5") != F.col("_first")))
     dropped = dropped.select("doc_id", F.col("text_md5").alias("_md5")).distinct()
     left = docs.select(*COLUMNS, F.md5("text").alias("_md5")).join(dropped, ["doc_id", "_md5"], "left_anti")
     # Rows that repeat are one document; those without an id or a text are each their own.
