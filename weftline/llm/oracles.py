@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftline.llm.leaks import EXAMPLES, MOST_OWNERS, MOST_REPOSITORIES
 from weftline.llm.licenses import PHRASES, TEMPLATES, LicenseScan
 from weftline.llm.quality import REFERENCES
 
@@ -87,6 +88,61 @@ SELECT b.doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(pos) AS BIGINT) AS n_bas
   array_to_string(list_sort(list_distinct(list_concat(bl, COALESCE(found, [])))), ',') AS labels, CAST(COALESCE(best, CASE WHEN len(pos) > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS score FROM b LEFT JOIN f USING (doc_id)"""
 
 
+#: One checksum per distinct word.
+IMPORTANCE = r"""WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+  d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  b AS (SELECT unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+  dw AS (SELECT doc_id, unnest(w) AS word FROM d), dc AS (SELECT doc_id, word, count(*) AS n FROM dw GROUP BY 1, 2), words AS (SELECT word FROM dc UNION SELECT word FROM b),
+  h AS (SELECT word, hex(encode(word)) AS h FROM words),
+  k AS (SELECT word, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) AS BIGINT) % 10000 AS bucket FROM h, crc),
+  s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dc JOIN k USING (word) GROUP BY 1), t AS (SELECT bucket, count(*)::DOUBLE AS t FROM b JOIN k USING (word) GROUP BY 1),
+  g AS (SELECT r.range AS bucket, COALESCE(s, 0) AS s, COALESCE(t, 0) AS t FROM range(10000) r LEFT JOIN s ON s.bucket = r.range LEFT JOIN t ON t.bucket = r.range),
+  gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM g),
+  m AS (SELECT doc_id, sum(n) AS n, sum(n * gain) AS total FROM dc JOIN k USING (word) JOIN gain USING (bucket) GROUP BY 1),
+  x AS (SELECT d.doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_features, CAST(COALESCE(floor(total::DOUBLE / n::DOUBLE), 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT)::DOUBLE AS h FROM d LEFT JOIN m USING (doc_id)),
+  y AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+  r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""
+
+#: Every node is a list of turns; what lies below it is found by cutting the lists of all nodes.
+TRIE = """WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+  o AS (SELECT conv_id, list({'role': COALESCE(role, ''), 'text': COALESCE(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+  h AS (SELECT conv_id, turns, hex(encode(CAST(conv_id AS VARCHAR))) AS h FROM o),
+  c AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 6 AS h FROM h, crc),
+  r AS (SELECT c.conv_id, list_concat(COALESCE(b.turns[:c.h], []), c.turns[c.h + 1:]) AS path FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 100),
+  p AS (SELECT conv_id, unnest(range(0, len(path) + 1)) AS depth, path FROM r),
+  n AS (SELECT CASE WHEN depth = 0 THEN '' ELSE CAST(path[:depth] AS VARCHAR) END AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(path[:depth]) AS path, sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = depth), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+  q AS (SELECT *, CASE WHEN depth = 1 THEN '' WHEN depth > 1 THEN CAST(path[:depth - 1] AS VARCHAR) END AS parent, CASE WHEN depth > 0 THEN length(path[depth].text) ELSE 0 END AS tokens FROM n),
+  kids AS (SELECT parent AS node, count(*) AS n FROM q WHERE depth > 0 GROUP BY 1),
+  w AS (SELECT q.*, COALESCE(kids.n, 0) AS n_children FROM q LEFT JOIN kids USING (node)),
+  up AS (SELECT unnest(range(0, depth + 1)) AS d, path, tokens, n_convs, n_children FROM w),
+  sub AS (SELECT CASE WHEN d = 0 THEN '' ELSE CAST(path[:d] AS VARCHAR) END AS node, sum((n_convs - 1) * tokens) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM up GROUP BY 1)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends_sha256 FROM w JOIN sub USING (node) LEFT JOIN q ON q.node = w.parent"""
+
+
+def _places(kind: str, pattern: str, value: str = "m") -> str:
+    """Rows doc_id, kind, s, e, value of all matches of a pattern without groups: matches are put between two marks and cut apart."""
+    return f"""SELECT doc_id, '{kind}' AS kind, s, s + length(m) AS e, m, {value} AS value FROM (SELECT doc_id, length(array_to_string(list_transform(parts[:k], lambda x: replace(x, chr(2), '')), '')) AS s, string_split(parts[k + 1], chr(2))[1] AS m
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS k FROM (SELECT doc_id, string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM d)))"""
+
+
+def _secrets() -> str:
+    word = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    front = f"""(?:{word('password')}|{word('passwd')}|{word('secret')}|{word('token')}|{word('api')}_?{word('key')})["'']? *[:=] *["'']?"""
+    bits = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value))))"
+    plain = " AND ".join(f"NOT contains(lower(value), '{x}')" for x in EXAMPLES)
+    return f"""WITH d AS (SELECT doc_id, COALESCE(source, '') AS owner, COALESCE(lang, '') AS repository, COALESCE(text, '') AS text FROM documents),
+  assign AS ({_places('assign', front + '[A-Za-z0-9+/_.=-]+', f"regexp_replace(m, '^{front}', '')")}), access AS ({_places('access', 'AKIA[A-Z0-9]{16,}')}), hex AS ({_places('hex', '[0-9a-f]{24,}')}), loose AS ({_places('loose', '[A-Za-z0-9_-]{20,}')}),
+  every AS (SELECT *, 1 AS k, length(value) >= 6 AS base FROM assign UNION ALL SELECT *, 2, length(m) >= 20 FROM access UNION ALL SELECT *, 3, length(m) >= 24 FROM hex UNION ALL SELECT *, 4, false FROM loose WHERE length(m) >= 20),
+  looks AS (SELECT DISTINCT doc_id, e - length(value) AS s, e, value FROM every WHERE (k IN (1, 4) OR base) AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND {plain} AND {bits} >= 3.0),
+  held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT owner || '|' || repository) AS repositories FROM looks JOIN d USING (doc_id) GROUP BY 1),
+  judged AS (SELECT doc_id, s, e, owners <= {MOST_OWNERS} AND repositories <= {MOST_REPOSITORIES} AS live FROM looks JOIN held USING (value)),
+  spans AS (SELECT doc_id, kind, k, s, e FROM every WHERE base UNION ALL SELECT doc_id, 'live', 4, s, e FROM judged WHERE live),
+  b AS (SELECT doc_id, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 3) AS n3, count(*) FILTER (WHERE k = 4) AS n4, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (WHERE k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM spans GROUP BY 1),
+  c AS (SELECT doc_id, count(*) FILTER (WHERE NOT live) AS n FROM judged GROUP BY 1)
+SELECT d.doc_id, COALESCE(n1, 0) AS n_assign, COALESCE(n2, 0) AS n_access, COALESCE(n3, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(n4, 0) AS n_live, COALESCE(c.n, 0) AS n_copied FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 SQL = {
     "op2_embeddings": EMBEDDINGS,
     "op3_quality": _quality(),
@@ -94,4 +150,7 @@ SQL = {
     "op6_warc": WARC,
     "op8_mixing": MIXING,
     "op9_licenses": _licenses(),
+    "op11_importance": IMPORTANCE,
+    "op12_trie": TRIE,
+    "op13_secrets": _secrets(),
 }

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import embeddings, neardup, pieces
+from weftline.llm.importance import resample
+from weftline.llm.leaks import scan_secrets
 from weftline.llm.lengths import length_histogram, suffix_sums
 from weftline.llm.licenses import scan_licenses
 from weftline.llm.oracles import SQL  # noqa: F401
@@ -17,6 +19,7 @@ from weftline.llm.pseudonyms import pseudonymise
 from weftline.llm.quality import quality
 from weftline.llm.settings import pseudonym_key, tokenizer
 from weftline.llm.sharding import assign_shards
+from weftline.llm.trie import narrow_turns, prefix_trie, rebuilt_turns
 from weftline.llm.warc import archived_pages, warc_records, write_warc
 from weftline.plans.lineage import cut
 
@@ -75,6 +78,22 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, pseudonym_key(spark)).select("doc_id", "text", "n_private")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    return resample(docs, target, n=1, buckets=10_000, percent=10, least_words=20, seed=2024).drop("n_words")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = narrow_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie(rebuilt_turns(turns, share=100, kinds=6))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have sources only: a source is an owner, and its documents of one language are a repository."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan_secrets(docs, owner=F.col("source"), repository=F.col("lang"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pieces": op1_pieces,
     "op2_embeddings": op2_embeddings,
@@ -86,5 +105,8 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_importance": op11_importance,
+    "op12_trie": op12_trie,
+    "op13_secrets": op13_secrets,
     "pipeline": corpus_pipeline.run,
 }
