@@ -221,6 +221,21 @@ def test_near_copies_are_recalled(spark):
     assert all(len(s) == 1 for s in by_class.values())
 
 
+@pytest.mark.parametrize("length", [60, 200, 1000])
+@pytest.mark.parametrize("kept", [0.95, 0.9, 0.85, 0.81])
+def test_scattered_changes_are_recalled_at_every_similarity(length, kept):
+    """Of texts with words replaced anywhere, as similar as ``kept``, nine in ten or more agree in a sample."""
+    rng = np.random.default_rng(length)
+    hit = 0
+    for _ in range(200):
+        a = rng.integers(1, 2**63, length, dtype=np.uint64)
+        b = a.copy()
+        b[rng.choice(length, round(length * (1 - kept)), replace=False)] = rng.integers(1, 2**63, round(length * (1 - kept)), dtype=np.uint64)
+        assert neardup.similarity(a, b) >= 0.8
+        hit += bool(set(neardup.sketch(a)) & set(neardup.sketch(b)))
+    assert hit >= 180
+
+
 def test_shards(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("shard", F.lit("clash"))
     odd = spark.createDataFrame([(None, None, None), (None, "x", None), (7, "é", "src1"), (7, "é", "src1")], "doc_id long, text string, source string")
