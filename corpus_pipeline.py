@@ -35,13 +35,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = named.filter("kept").groupBy("class_id").agg(F.min("text_md5").alias("_first"))
     dropped = join_spread(named, first, ["class_id"], "doc_id", "inner").filter(~F.col("kept") | (F.col("text_md5") != F.col("_first")))
     dropped = dropped.select("doc_id", F.col("text_md5").alias("_md5")).distinct()
-    left = docs.select(*COLUMNS, F.md5("text").alias("_md5")).join(dropped, ["doc_id", "_md5"], "left_anti")
-    # Rows that repeat are one document; those without an id or a text are each their own.
-    alone = F.col("doc_id").isNull() | F.col("_md5").isNull()
-    left = left.withColumn("_row", F.when(alone, F.monotonically_increasing_id()).otherwise(-1))
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    least = left.groupBy("doc_id", "_md5", "_row").agg(F.first("text").alias("text"), F.min(F.struct(*others)).alias("_least"))
-    return least.select("doc_id", "text", *(F.col(f"_least.{c}").alias(c) for c in others)).select(COLUMNS)
+    # Rows that repeat are one document; they meet where they stand, before their texts are sent out.
+    named = docs.filter("doc_id is not null and text is not null").select(*COLUMNS, F.md5("text").alias("_md5"))
+    least = named.groupBy("doc_id", "_md5").agg(F.first("text").alias("text"), F.min(F.struct(*others)).alias("_least"))
+    left = least.join(dropped, ["doc_id", "_md5"], "left_anti")
+    left = left.select("doc_id", "text", *(F.col(f"_least.{c}").alias(c) for c in others)).select(COLUMNS)
+    return left.unionByName(docs.filter("doc_id is null or text is null").select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
