@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from weftline.plans import analytics, clustering, decisions, extras, ingestion, lists, registry, reports, rules, texts  # noqa: F401  queries register themselves
+from weftline.plans import analytics, clustering, decisions, extras, ingestion, lists, registry, reports, rules, searches, texts  # noqa: F401  queries register themselves
 
 DATA = Path("/root/testdata/sf0.001")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.vectors import cosine
 from weftline.operators.scoring import told_entities
+from weftline.operators.vector_index import near
+from weftline.plans.spread import join_spread
 
 #: Stories that are compared as one array, and parts that articles are dealt out to so that no array meets them all.
 STORIES, PARTS = 1024, 64
@@ -103,25 +105,29 @@ def _in_window(articles: DataFrame, stories: DataFrame, limits: Limits) -> DataF
 
 
 def _sharing(articles: DataFrame, stories: DataFrame, mine: Column, theirs: Column, most: int) -> DataFrame:
-    """(article, story, last_at), once, of stories that share a value; of each value, the newest are all that can count."""
+    """(article, story, last_at), once, of stories that share a value; of each value, the newest are all that can count.
+
+    Articles of a value that many have are spread over tasks.
+    """
     a = articles.select("article", F.explode(F.array_distinct(mine)).alias("_value")).filter("_value is not null")
     s = stories.select("story", "last_at", F.explode(F.array_distinct(theirs)).alias("_value")).filter("_value is not null")
-    return a.join(_first(s, ("_value",), most).drop("n"), "_value").select("article", "story", "last_at").distinct()
+    newest = _first(s, ("_value",), most).select("_value", "story", "last_at")
+    return join_spread(a, newest, ["_value"], "article", "inner").select("article", "story", "last_at").distinct()
 
 
 def story_candidates(articles: DataFrame, stories: DataFrame, limits: Limits | None = None) -> DataFrame:
     """(article, story, block, k): the stories that an article is compared with, by four blocks.
 
     Articles have article, published_at, entities, slug and embedding, active stories story, last_at, entities, slugs
-    and centroid. Blocks are 1 the time window, 2 any shared entity that tells stories apart, 3 the nearest centroids
-    and 4 the slug; each has its limit, newest first (nearest first in 3). A story of several blocks counts once, with
+    and centroid. Blocks are 1 the time window, 2 any shared entity that tells stories apart, 3 the nearest centroids,
+    by an index of cells where one cell can't hold them, and 4 the slug; each has its limit, newest first (nearest first in 3). A story of several blocks counts once, with
     the first; earlier blocks come first where the cap is reached.
     """
     t = limits or Limits()
     found = [
         _first(_in_window(articles, stories, t), ("article",), t.time),
         _first(_sharing(articles, stories, told_entities(F.col("entities")), told_entities(F.col("entities")), t.entity), ("article",), t.entity),
-        nearest(articles.filter("embedding is not null"), stories.filter("centroid is not null"), t.ann, story="story").filter(F.col("sim") >= t.least),
+        near(articles.filter("embedding is not null"), stories.filter("centroid is not null"), t.ann).filter(F.col("sim") >= t.least),
         _first(_sharing(articles, stories, F.array("slug"), F.col("slugs"), t.slug), ("article",), t.slug),
     ]
     union = reduce(DataFrame.unionByName, [f.select("article", "story", F.lit(k).alias("block"), "n") for k, f in enumerate(found, 1)])
