@@ -31,8 +31,15 @@ DISPOSITIONS = (
 )
 # Heads of the sections of an assembled opinion, in the order in which they stand.
 SECTIONS = ("MAJORITY OPINION", "CONCURRENCE", "DISSENT", "OTHER")
-#: Lines that end a syllabus.
-OPINION_BEGINS = r"\n\s*(?:(?:CHIEF\s+)?JUSTICE\s+\w+\s+delivered\s+the\s+opinion|PER\s+CURIAM\.?\s*\n|Opinion\s+of\s+(?:the\s+Court|JUSTICE|\w+,\s*J\.)|\[\s*Footnote\s*\d)"
+# Where a syllabus begins and what ends it. The heading counts as it is written, the lines in any case.
+SYLLABUS_BEGINS = r"(?s)^.+?SUPREME COURT.*?Syllabus.*?(?i:Decided\s+[A-Z][a-z]+\s+\d+,\s+\d{4}\s*\n)(.*)$"
+JUSTICES = "THOMAS|ROBERTS|ALITO|SOTOMAYOR|KAGAN|GORSUCH|KAVANAUGH|BARRETT|JACKSON"
+OPINION_BEGINS = (
+    r"(?i)\n\s*(?:(?:CHIEF\s+)?JUSTICE\s+\w+\s+delivered\s+the\s+opinion|PER\s+CURIAM\.?\s*\n|Opinion\s+of\s+(?:the\s+Court|JUSTICE|\w+,\s*J\.)|\[\s*Footnote\s*\d)"
+    rf"|\n\s{{4,}}(?:{JUSTICES}),?\s*J\."
+)
+DOCKET_BEGINS = r"(?i)No\.\s*\d+[–-]\d+\.[^\n]*?Decided[^\n]*?\d{4}\s*\n((?s:.*))$"
+DOCKET_ENDS = r"(?i)\n\s*(?:CHIEF\s+)?JUSTICE\s+\w+\s+delivered|\n\s*PER\s+CURIAM"
 
 
 def opinion_rank(kind: Column) -> Column:
@@ -61,15 +68,23 @@ def section(text: Column, name: str) -> Column:
     return F.when(text.rlike(rf"(?i)===\s*{name}[^=]*==="), F.trim(found))
 
 
+def _one_line(c: Column) -> Column:
+    """A passage without white space around it, its lines joined."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\n\s+", " "), r"\s{2,}", " ")
+
+
 def syllabus_of(text: Column) -> Column:
-    """The syllabus in a decision's text: what follows the Decided line after the head, up to where an opinion begins, at most 5,000 characters.
+    """The syllabus in a decision's text: what follows the Decided line after the heading, up to where an opinion or a justice's part begins, at most 5,000 characters.
 
-    Null without the head, or if it has under 100 characters.
+    Without the heading, or if that has under 100 characters, what follows a docket number's Decided line: 100 to 5,000
+    characters up to the opinion or the end; null otherwise.
     """
-    body = F.regexp_extract(text, r"(?is)SUPREME COURT.*?Syllabus.*?Decided\s+[A-Z][a-z]+\s+\d+,\s+\d{4}\s*\n(.*)$", 1)
-    cut = F.substring(F.split(body, f"(?i){OPINION_BEGINS}", 2)[0], 1, 5000)
-    clean = F.regexp_replace(F.regexp_replace(F.trim(cut), r"\n\s+", " "), r"\s{2,}", " ")
-    return F.when(F.length(clean) >= 100, clean)
+    body = F.when(~text.startswith("SUPREME COURT"), F.regexp_extract(text, SYLLABUS_BEGINS, 1))
+    headed = _one_line(F.substring(F.split(body, OPINION_BEGINS, 2)[0], 1, 5000))
+    rest = F.regexp_extract(text, DOCKET_BEGINS, 1)
+    least = F.substring(rest, 1, 100)
+    docket = F.concat(least, F.split(F.substring(rest, 101, 2**31 - 1), DOCKET_ENDS, 2)[0])
+    return F.when(F.length(headed) >= 100, headed).when(F.length(docket).between(100, 5000), _one_line(docket))
 
 
 def excerpt(text: Column, most: int = 15_000) -> Column:

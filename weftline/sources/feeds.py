@@ -37,11 +37,11 @@ def unseen(items: DataFrame, seen: DataFrame) -> DataFrame:
 def json_records(lines: DataFrame, marker: str, schema: str, line: str = "value") -> DataFrame:
     """Records of the JSON object after ``marker`` in log lines; malformed ones and lines without one are left out.
 
-    The object ends where its braces balance; braces inside of strings don't count. A parser that stops there is
-    the JSON reader itself, so the rest of the line does no harm.
+    The JSON reader begins at the first brace and stops where the object ends, so what follows on the line, braces
+    among it, does no harm, nor do braces inside of strings.
     """
     rest = F.substring_index(F.col(line), marker, -1)
-    body = F.regexp_extract(rest, r"(?s)(\{.*\})", 1)
+    body = F.regexp_extract(rest, r"(?s)(\{.*)", 1)
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
     return lines.filter(F.col(line).contains(marker)).select(parsed.alias("r")).filter("r is not null").select("r.*").dropna(how="all")
 
