@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import legal
 from weftline.operators import attach, fingerprints, limits
+from weftline.plans import running
 from weftline.sources import feeds
 
 
@@ -68,9 +69,9 @@ def waits(times, per_minute):
     return out
 
 
-@pytest.mark.parametrize("bits", [20, 3])
+@pytest.mark.parametrize("bits", [16, 3])
 def test_token_buckets_equal_a_sequential_limiter(spark, monkeypatch, bits):
-    monkeypatch.setattr(limits, "RUN_BITS", bits)
+    monkeypatch.setattr(running, "RUN_BITS", bits)
     rng = random.Random(3)
     start = datetime.datetime(2024, 1, 1)
     rows, now = [], 0

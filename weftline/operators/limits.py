@@ -8,40 +8,12 @@ so runs of requests are summed up on their own, and no caller's requests are gat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.lineage import cut
-
-#: A run is at most two to this power of neighbouring requests.
-RUN_BITS = 20
-
-
-def _runs(each):
-    """Batches sorted by caller and run -> ``each`` of whole runs, which begin and end anywhere in the batches."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = list(zip(batch.column("caller").to_pylist(), batch.column("_block").to_pylist(), strict=True))
-            at = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[at]:
-                    if keys[at] != last and held:
-                        yield each(pa.Table.from_batches(held))
-                        held = []
-                    last = keys[at]
-                    held.append(batch.slice(at, k - at))
-                    at = k
-        if held:
-            yield each(pa.Table.from_batches(held))
-
-    return over
+from weftline.plans.running import each_run, in_runs
 
 
 def token_bucket(requests: DataFrame, per_minute: int, caller: str = "caller", at: str = "ts", request: str = "id") -> DataFrame:
@@ -55,21 +27,21 @@ def token_bucket(requests: DataFrame, per_minute: int, caller: str = "caller", a
     rate, cap = per_minute / 60_000, float(per_minute)
     rows = requests.filter(F.col(at).isNotNull()).select(F.coalesce(F.col(caller).cast("string"), F.lit("\0")).alias("caller"), F.col(request).alias("request"), (F.unix_micros(F.col(at).cast("timestamp")) / 1000).alias("ms"))
     order = ["caller", "ms", "request"]
-    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_block", F.shiftright(F.monotonically_increasing_id(), RUN_BITS)))
+    rows = in_runs(rows, *order)
     origin = rows.agg(F.min("ms")).first()[0] or 0.0
 
     def composed(run: pa.Table) -> pa.RecordBatch:
         low, high = -np.inf, np.inf
         for r in (run.column("ms").to_numpy() - origin) * rate:
             low, high = (min(max(x - 1, -r), cap - 1 - r) for x in (low, high))
-        return pa.RecordBatch.from_pydict({"caller": [run["caller"][0].as_py()], "_block": [run["_block"][0].as_py()], "n": [float(run.num_rows)], "low": [low], "high": [high]})
+        return pa.RecordBatch.from_pydict({"caller": [run["caller"][0].as_py()], "_run": [run["_run"][0].as_py()], "n": [float(run.num_rows)], "low": [low], "high": [high]})
 
-    maps = rows.mapInArrow(_runs(composed), "caller string, _block long, n double, low double, high double")
+    maps = rows.mapInArrow(each_run(composed, "caller"), "caller string, _run long, n double, low double, high double")
     # One short row per run: of a caller as many as its requests over those of a run.
     step = lambda y, m: F.least(F.greatest(y - m["n"], m["low"]), m["high"])
-    ordered = maps.groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("_block", "n", "low", "high"))).alias("m"))
+    ordered = maps.groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("_run", "n", "low", "high"))).alias("m"))
     states = F.aggregate("m", F.array(F.lit(cap)), lambda s, m: F.concat(s, F.array(step(F.element_at(s, -1), m))))
-    begins = ordered.select("caller", F.explode(F.arrays_zip(F.transform("m", lambda m: m["_block"]).alias("_block"), F.slice(states, 1, F.size("m")).alias("begins"))).alias("z")).select("caller", "z.*")
+    begins = ordered.select("caller", F.explode(F.arrays_zip(F.transform("m", lambda m: m["_run"]).alias("_run"), F.slice(states, 1, F.size("m")).alias("begins"))).alias("z")).select("caller", "z.*")
 
     def waited(run: pa.Table) -> pa.RecordBatch:
         y, waits = run["begins"][0].as_py(), []
@@ -80,6 +52,6 @@ def token_bucket(requests: DataFrame, per_minute: int, caller: str = "caller", a
         return pa.RecordBatch.from_arrays([run["caller"].combine_chunks(), run["request"].combine_chunks(), pa.array(waits, pa.float64())], names=["caller", "request", "wait_ms"])
 
     kind = rows.schema["request"].dataType.simpleString()
-    placed = rows.join(begins, ["caller", "_block"]).repartition("caller", "_block").sortWithinPartitions("caller", "_block", "ms", "request")
-    out = placed.select("caller", "_block", "ms", "request", "begins").mapInArrow(_runs(waited), f"caller string, request {kind}, wait_ms double")
+    placed = rows.join(begins, ["caller", "_run"]).repartition("caller", "_run").sortWithinPartitions("caller", "_run", "ms", "request")
+    out = placed.select("caller", "_run", "ms", "request", "begins").mapInArrow(each_run(waited, "caller"), f"caller string, request {kind}, wait_ms double")
     return out.withColumn("caller", F.nullif("caller", F.lit("\0")))
