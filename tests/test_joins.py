@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import legal
-from weftline.operators import attach, fingerprints, limits
+from weftline.operators import attach, fingerprints, limits, string_join
 from weftline.plans import running
 from weftline.sources import feeds
 
@@ -122,3 +122,41 @@ def test_founders_are_told_apart_by_their_raw_titles(spark):
 def test_headline_words_of_a_batch(spark):
     df = spark.createDataFrame([("Trump and the UN: DOJ sues over Gaza border, court says",)], "t string")
     assert df.select(attach.batch_tokens(F.col("t"))).first()[0] == ["un", "doj", "gaza", "border"]
+
+
+def grams(text):
+    words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in (text or "").lower()).split()]
+    return frozenset(f"  {w} "[k : k + 3] for w in words for k in range(len(w) + 1))
+
+
+@pytest.mark.parametrize(("block", "least"), [(1024, 0.5), (7, 0.5), (1024, 0.8), (1024, 0.15), (1024, 1.0)])
+def test_similar_strings_equal_brute_force(spark, monkeypatch, block, least):
+    """A third of the strings are one headline, and many more begin alike."""
+    monkeypatch.setattr(string_join, "BLOCK", block)
+    rng = random.Random(5)
+    words = ["senate", "votes", "budget", "court", "rules", "storm", "hits", "coast", "live", "updates", "a", "xx"]
+    texts = ["Live updates: storm" if k % 3 == 0 else " ".join(rng.choice(words) + rng.choice(["", "", "s", "é"]) for _ in range(rng.randint(1, 6))) for k in range(120)] + [None, "", "!!", "日本"]
+    frame = spark.createDataFrame([(k, t, "x", "x") for k, t in enumerate(texts)], "id long, t string, s string, grams string").repartition(3)
+    pairs, classes = string_join.similar_strings(frame, F.col("t"), "id", least)
+    sets = {}
+    for k, t in enumerate(texts):
+        sets.setdefault(grams(t), k)
+    want = {(min(i, j), max(i, j)): len(a & b) / len(a | b) for a, i in sets.items() for b, j in sets.items() if i < j and a and b and len(a & b) / len(a | b) >= least - 1e-12}
+    found = {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()}
+    assert found == pytest.approx(want)
+    assert {r["key"]: r["class"] for r in classes.collect()} == {k: sets[grams(t)] for k, t in enumerate(texts) if grams(t)}
+    assert string_join.similar_strings(frame.limit(0), F.col("t"), "id", least)[0].count() == 0
+
+
+def test_only_pairs_of_one_url_attach(spark):
+    """Of all pairs, those that reach 65 points are among the attachable ones."""
+    at = datetime.datetime(2024, 1, 1)
+    a = spark.createDataFrame([(1, "Senate votes", at, "u1", "X"), (2, "Senate votes", at, None, "X"), (3, "Other", at, "u2", None)], "article long, a_title string, a_published_at timestamp_ntz, a_url string, a_actor string")
+    s = spark.createDataFrame([(7, "Senate votes", at, "u1", "X"), (8, "Senate votes", at, "u2", "X")], "story long, s_title string, s_first_seen timestamp_ntz, s_url string, s_actor string")
+    same = F.when(F.col("a_title") == F.col("s_title"), 1.0).otherwise(0.3)
+
+    def best(pairs):
+        return sorted(tuple(r) for r in attach.legacy_scores(pairs, same).filter("points >= 65").select("article", "story", "points").collect())
+
+    assert best(string_join.attachable(a, s)) == best(a.crossJoin(s)) == [(1, 7, 90)]
+    assert attach.legacy_scores(a.crossJoin(s), same).filter("points >= 60 and a_url is null").count() == 2
