@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions.vectors import cosine
 from weftline.operators.scoring import told_entities
 from weftline.operators.vector_index import near
+from weftline.plans.lineage import cut
 from weftline.plans.spread import join_spread
 
 #: Stories that are compared as one array, and parts that articles are dealt out to so that no array meets them all.
@@ -124,6 +125,8 @@ def story_candidates(articles: DataFrame, stories: DataFrame, limits: Limits | N
     the first; earlier blocks come first where the cap is reached.
     """
     t = limits or Limits()
+    # All blocks, the fit and the index read them.
+    stories = cut(stories)
     found = [
         _first(_in_window(articles, stories, t), ("article",), t.time),
         _first(_sharing(articles, stories, told_entities(F.col("entities")), told_entities(F.col("entities")), t.entity), ("article",), t.entity),
