@@ -258,6 +258,14 @@ def test_shards(spark, tmp_path):
     assert sharding.assign_shards(frame.limit(0), 7).count() == 0
 
 
+def test_rows_without_ids_are_spread_over_bins(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    placed = sharding.assign_shards(rows, 5, seed=1)
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [600] * 5
+    keys = rows.select(F.substring(F.md5(F.concat_ws("|", F.lit("1"), F.crc32(F.encode("text", "UTF-8")).cast("string"))), 1, 3).alias("b")).distinct().count()
+    assert keys > 1500
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [
         (1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "http://a/4\r\nX: y z", ""), (5, "http://a/5", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n"),

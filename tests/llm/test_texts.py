@@ -249,3 +249,18 @@ def test_empty_tables(spark, docs):
     assert licenses.scan_licenses(empty).count() == 0
     assert pseudonyms.pseudonymise(empty, "k").count() == 0
     assert lengths.suffix_sums(lengths.length_histogram(empty, model)).count() == 0
+
+
+def test_short_local_parts_all_move_and_none_meet():
+    f = pseudonyms.Feistel(b"k" * 32)
+    for domain in ("a.com", "example.org"):
+        for names in (list(pseudonyms.ALPHABET), [a + b for a in pseudonyms.ALPHABET for b in pseudonyms.ALPHABET[:3]]):
+            new = [pseudonyms.email(f, f"{n}@{domain}") for n in names]
+            assert len(set(new)) == len(names) and all(x != f"{n}@{domain}" and len(x) == len(f"{n}@{domain}") for x, n in zip(new, names, strict=True))
+    assert pseudonyms.email(f, "A@x.org").isascii() and pseudonyms.email(f, "A@x.org").lower() == pseudonyms.email(f, "a@x.org")
+
+
+def test_octets_with_leading_zeros_are_no_address():
+    f = pseudonyms.Feistel(b"k" * 32)
+    assert pseudonyms.ipv4(f, "010.001.002.003") is None and pseudonyms.ipv4(f, "10.1.2.300") is None
+    assert pseudonyms.ipv4(f, "10.1.2.3") != "10.1.2.3" and pseudonyms.ipv4(f, "0.0.0.0").count(".") == 3

@@ -41,8 +41,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 #: The checksum's table is made by its rule.
 SHARDS = """WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
-  d AS (SELECT doc_id, source, COALESCE('=' || source, '') AS stratum, CAST(strlen(COALESCE(text, '')) + 16 AS BIGINT) AS size, hex(encode(COALESCE(text, ''))) AS h, md5('17|' || doc_id) AS key FROM documents),
-  s AS (SELECT doc_id, size, stratum, key, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM d, crc),
+  d AS (SELECT doc_id, source, COALESCE('=' || source, '') AS stratum, CAST(strlen(COALESCE(text, '')) + 16 AS BIGINT) AS size, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+  c AS (SELECT doc_id, size, stratum, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM d, crc), s AS (SELECT *, md5(concat_ws('|', '17', doc_id, text_crc32)) AS key FROM c),
   f AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, text_crc32, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS share FROM s),
   p AS (SELECT *, row_number() OVER (ORDER BY share, stratum) - 1 AS pos, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * 40 // n AS INTEGER) AS shard, CAST(pos - ((pos * 40 // n) * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""

@@ -16,6 +16,8 @@ ROUNDS = 10
 ROWS = 1024
 #: Letters and digits of an address's local part, in the order of their numbers.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Characters of the local parts that are all on one ring.
+RING = 2
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -50,6 +52,11 @@ class Feistel:
             if value < size:
                 return value
 
+    def next_on_ring(self, value: int, size: int, domain: str) -> int:
+        """What follows ``value`` on a keyed ring of all of range(size): a permutation too, and one that leaves nothing in its place."""
+        ring = sorted(range(size), key=lambda k: (self._round(domain, size, -1, k), k))
+        return ring[(ring.index(value) + 1) % size]
+
     def among(self, value: int, size: int, domain: str, valid: Callable[[int], bool]) -> int:
         """Permute a valid number among the valid ones below ``size``."""
         while True:
@@ -107,6 +114,8 @@ def social(f: Feistel, found: str) -> str | None:
 
 
 def ipv4(f: Feistel, found: str) -> str | None:
+    if any(len(x) > 1 and x[0] == "0" for x in found.split(".")):
+        return None
     parts = [int(x) for x in found.split(".")]
     if max(parts) > 255:
         return None
@@ -114,13 +123,17 @@ def ipv4(f: Feistel, found: str) -> str | None:
 
 
 def email(f: Feistel, found: str) -> str | None:
-    """The local part keeps its length, its marks and the places of capitals; the domain stays. Case tells none apart."""
+    """The local part keeps its length, its marks and the places of capitals; the domain stays. Case tells none apart.
+
+    A permutation of few names would leave some as they are; those of one or two characters move along a ring.
+    """
     local, _, domain = found.lower().rpartition("@")
     inner = [c for c in local if c in ALPHABET]
     number = 0
     for c in inner:
         number = number * len(ALPHABET) + ALPHABET.index(c)
-    number = f.permute(number, len(ALPHABET) ** len(inner), f"email{len(inner)}@{domain}")
+    place = f.next_on_ring if len(inner) <= RING else f.permute
+    number = place(number, len(ALPHABET) ** len(inner), f"email{len(inner)}@{domain}")
     new = []
     for _ in inner:
         number, k = divmod(number, len(ALPHABET))
@@ -225,7 +238,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     A candidate must pass its kind's check: calendar, Luhn, mod 97, octets, social number ranges, or the form of a
     telephone number. It is then permuted with the key among the values that pass the same check in the same format; so equal values have equal pseudonyms in
     all documents, different values different ones, and marks and (but for IP addresses) lengths stay. Addresses keep
-    their domain, and card numbers and IBANs get check digits that hold. Spans count characters of the text as it was.
+    their domain, and card numbers and IBANs get check digits that hold. A permutation may have a value stay in its place, with odds of one in
+    as many values as the format has, 46,656 or more. Octets with leading zeros are no address. Spans count characters of the text as it was.
 
     A null text stays null with n_private 0; empty texts, repeated rows and extra columns pass through, except
     that columns named n_private and private_spans are replaced. An empty table gives no rows. Nothing is shuffled.

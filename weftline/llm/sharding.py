@@ -54,8 +54,9 @@ def assign_shards(
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_stratum"),
         (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string"))).alias("_key"),
-    ).withColumn("_bin", F.substring("_key", 1, BIN_DIGITS))
+    ).withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))))
+    # The checksum tells rows without an id apart, however many there are.
+    rows = rows.withColumn("_bin", F.substring("_key", 1, BIN_DIGITS))
     ranked = _with_offsets(rows, ["_stratum"], "_bin", ["_key", "doc_id", "text_crc32", "size"], "_rank", "_rows")
     ranked = ranked.select(
         "doc_id", "source", "size", "text_crc32", "_stratum", ((F.col("_rank") + 0.5) / F.col("_rows")).alias("_share")
