@@ -64,6 +64,40 @@ def recompute(links: DataFrame, articles: DataFrame, top: int = 5) -> DataFrame:
     return centroids.join(entities, "story_id", "full_outer")
 
 
+def recompute_stories(stories: DataFrame, links: DataFrame, articles: DataFrame, top: int = 5) -> DataFrame:
+    """``stories`` (id, centroid, entity_counter, top_entities, slugs and others) as their articles have them now, with the cosine of old and new centroids as ``drift``.
+
+    A story whose articles have any vector gets their exact mean, the counts of their entities, as often as articles list
+    them, and the ``top`` of these by count and name; without entities both are empty. Other stories stay as they are. Slugs are those of all its
+    articles, sorted. Only the first entities of a story are ordered; its counts are one map, as many as it has entities.
+    """
+    from pyspark.sql import Window
+
+    from weftline.functions.vectors import cosine
+
+    joined = links.select("story_id", "article_id").distinct().join(articles, "article_id")
+    means = mean_vectors(joined.filter("embedding is not null"), "story_id", "embedding", "_mean")
+    counts = joined.select("story_id", F.explode("entities").alias("e")).filter("e <> ''").groupBy("story_id", "e").agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    order = Window.partitionBy("story_id").orderBy(F.desc("n"), "e")
+    first = counts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("_top"))
+    maps = counts.groupBy("story_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "n")))).alias("_counter"))
+    slugs = joined.groupBy("story_id").agg(F.array_sort(F.collect_set("slug")).alias("_slugs"))
+    found = means.join(maps, "story_id", "left").join(first, "story_id", "left").join(slugs, "story_id", "left")
+    after = stories.join(found.withColumnRenamed("story_id", "_id"), F.col("id") == F.col("_id"), "left")
+    known = F.col("_id").isNotNull()
+    none = F.array().cast("array<string>")
+    return after.withColumns(
+        {
+            "drift": F.when(known & F.col("centroid").isNotNull(), F.round(cosine(F.col("centroid"), F.col("_mean")), 6)),
+            "entity_counter": F.when(known, F.coalesce("_counter", F.map_from_arrays(none, F.array().cast("array<bigint>")))).otherwise(F.col("entity_counter")),
+            "top_entities": F.when(known, F.coalesce(F.transform("_top", lambda x: x["e"]), none)).otherwise(F.col("top_entities")),
+            "slugs": F.when(known, F.coalesce("_slugs", none)).otherwise(F.col("slugs")),
+            "centroid": F.coalesce("_mean", "centroid"),
+        }
+    ).drop("_id", "_mean", "_counter", "_top", "_slugs")
+
+
 def merge_stories(stories: DataFrame, links: DataFrame, wanted: DataFrame, cap: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stories, links and a result row per wanted merge (run_id, loser, survivor) after the merges.
 
