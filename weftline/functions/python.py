@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,37 +59,69 @@ def unescape_html(c: pd.Series) -> pd.Series:
 
 
 def feature_hashes(features: list[str]) -> np.ndarray:
-    """64-bit hashes of two 32-bit multiplicative hashes of UTF-16 code units, one place of all features at a time."""
-    coded = [f.encode("utf-16-le", "surrogatepass") for f in features]
-    sizes = np.array([len(c) // 2 for c in coded])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    units = np.frombuffer(b"".join(coded), "<u2").astype(np.uint64)
+    """64-bit hashes of ASCII features: two 32-bit multiplicative hashes of the characters, one place of all features at a time."""
+    units = np.frombuffer("\n".join([*features, ""]).encode("ascii"), np.uint8)
+    ends = np.flatnonzero(units == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    sizes = ends - starts
+    # The longest first, so those that have a place are a run.
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
     low, high = np.full(len(features), 0xDEADBEEF, np.uint64), np.full(len(features), 0x41C6CE57, np.uint64)
     mask = np.uint64(M32)
-    for place in range(int(sizes.max(initial=0))):
-        at = np.flatnonzero(sizes > place)
-        unit = units[starts[at] + place]
-        low[at] = (low[at] ^ unit) * np.uint64(2654435761) & mask
-        high[at] = (high[at] ^ unit) * np.uint64(1597334677) & mask
+    for place in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -place, side="left"))
+        unit = units[starts[:n] + place].astype(np.uint64)
+        low[:n] = (low[:n] ^ unit) * np.uint64(2654435761) & mask
+        high[:n] = (high[:n] ^ unit) * np.uint64(1597334677) & mask
     low = (low ^ low >> np.uint64(16)) * np.uint64(2246822507)
     high = (high ^ high >> np.uint64(16)) * np.uint64(3266489909)
-    return ((high ^ high >> np.uint64(13)) & mask) << np.uint64(32) | (low ^ low >> np.uint64(13)) & mask
+    hashes = np.empty(len(features), np.uint64)
+    hashes[order] = ((high ^ high >> np.uint64(13)) & mask) << np.uint64(32) | (low ^ low >> np.uint64(13)) & mask
+    return hashes
+
+
+_WORD = re.compile("[a-z0-9_]+")
+#: Characters of texts that are hashed together.
+TOGETHER = 1 << 18
+
+
+def _features(text: str) -> list[str]:
+    words = _WORD.findall(text.lower())
+    return [" ".join(three) for three in zip(words, words[1:], words[2:], strict=False)] + [w for w in words if len(w) >= 4]
+
+
+def simhashes(texts: Iterable[str | None]) -> Iterator[int | None]:
+    """SimHashes of three-word shingles and of words of four letters or more, as signed numbers; of several texts at once."""
+    held: list[list[str] | None] = []
+    size = 0
+
+    def done() -> Iterator[int | None]:
+        hashes = feature_hashes([f for own in held for f in own or []]).astype(">u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        at = 0
+        for own in held:
+            n = len(own or [])
+            ones = bits[at : at + n].sum(axis=0, dtype=np.int64)
+            at += n
+            yield None if own is None else int(np.packbits(2 * ones > n).view(">i8")[0])
+
+    for text in texts:
+        held.append(None if text is None else _features(text))
+        size += len(text or "")
+        if size >= TOGETHER:
+            yield from done()
+            held, size = [], 0
+    yield from done()
 
 
 def simhash_text(text: str | None) -> int | None:
-    """SimHash of three-word shingles and of words of four letters or more, as a signed number."""
-    if text is None:
-        return None
-    words = "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in text.lower()).split()
-    features = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] + [w for w in words if len(w) >= 4]
-    hashes = feature_hashes(features).astype(">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(features)).view(">i8")[0])
+    return next(simhashes([text]))
 
 
 @F.pandas_udf(T.LongType())
 def simhash(c: pd.Series) -> pd.Series:
-    return pd.Series([simhash_text(x) for x in c], dtype="Int64")
+    return pd.Series(list(simhashes(c)), dtype="Int64")
 
 
 def fnv1a(text: str) -> int:

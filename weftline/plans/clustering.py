@@ -208,18 +208,18 @@ def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MERGED = "CASE WHEN story_id IN (1, 3) THEN story_id - 1 ELSE story_id END"
 
 
-@query("c20_c21_z14_recompute", f"""WITH {ARTICLES_SQL}, {LINKS_SQL}, {STORIES_SQL}, t AS (SELECT a.id, published_at, {WORDS_SQL.format('title')} AS tags, upper(split_part(title, ' ', 1)) AS slug, CAST(e.embedding AS DOUBLE[]) AS v FROM articles a LEFT JOIN embeddings e ON e.vec_id = a.id),
+@query("c20_c21_z14_recompute", f"""WITH {ARTICLES_SQL}, {LINKS_SQL}, {STORIES_SQL}, t AS (SELECT a.id, published_at, {WORDS_SQL.format('title')} AS tags, upper(list_min({WORDS_SQL.format('title')})) AS slug, CAST(e.embedding AS DOUBLE[]) AS v FROM articles a LEFT JOIN embeddings e ON e.vec_id = a.id),
   o AS (SELECT story_id, t.* FROM links JOIN t ON t.id = article_id), old AS (SELECT story_id, list(x ORDER BY k) AS c FROM (SELECT story_id, k, avg(v[k]) AS x FROM (SELECT story_id, v, unnest(generate_series(1, len(v))) AS k FROM o WHERE published_at < TIMESTAMP '{AS_OF}' - INTERVAL 15 DAY) GROUP BY 1, 2) GROUP BY 1),
   n AS (SELECT DISTINCT {_MERGED} AS sid, o.id, o.tags, o.slug, o.v FROM o), new AS (SELECT sid, list(x ORDER BY k) AS c FROM (SELECT sid, k, avg(v[k]) AS x FROM (SELECT sid, v, unnest(generate_series(1, len(v))) AS k FROM n) GROUP BY 1, 2) GROUP BY 1),
   cn AS (SELECT sid, tag, count(*) AS c FROM (SELECT sid, unnest(tags) AS tag FROM n) GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY c DESC, tag) AS k FROM cn),
-  m AS (SELECT sid, string_agg(tag || ':' || c, ',' ORDER BY tag) AS counter, string_agg(tag, ',' ORDER BY k) FILTER (WHERE k <= 5) AS top FROM rk GROUP BY 1), sl AS (SELECT sid, count(*) AS articles, array_to_string(list_sort(list_distinct(list(slug) FILTER (WHERE slug IS NOT NULL))), ',') AS slugs FROM n GROUP BY 1)
-SELECT s.id, CASE WHEN s.id IN (1, 3) THEN s.id - 1 END AS merged_into, COALESCE(sl.articles, 0) AS source_count, md5(CASE WHEN new.sid IS NOT NULL THEN COALESCE(counter, '') ELSE 'kept' END) AS counter, CASE WHEN new.sid IS NOT NULL THEN COALESCE(top, '') ELSE 'kept' END AS top, md5(COALESCE(sl.slugs, 'kept')) AS slugs, CASE WHEN new.sid IS NOT NULL AND old.c IS NOT NULL THEN round(list_cosine_similarity(old.c, new.c), 6) END AS drift,
-  array_to_string(list_transform(COALESCE(new.c, old.c), lambda x: CAST(round(x * 1000000) AS BIGINT)), ' ') AS centroid FROM stories s LEFT JOIN new ON new.sid = s.id LEFT JOIN old ON old.story_id = s.id LEFT JOIN m ON m.sid = s.id LEFT JOIN sl ON sl.sid = s.id""")
+  m AS (SELECT sid, string_agg(tag || ':' || c, ',' ORDER BY tag) AS counter, string_agg(tag, ',' ORDER BY k) FILTER (WHERE k <= 5) AS top FROM rk GROUP BY 1), lc AS (SELECT {_MERGED} AS sid, count(DISTINCT article_id) AS articles FROM links GROUP BY 1), sl AS (SELECT sid, array_to_string(list_sort(list_distinct(list(slug) FILTER (WHERE slug IS NOT NULL))), ',') AS slugs FROM n GROUP BY 1)
+SELECT s.id, CASE WHEN s.id IN (1, 3) THEN s.id - 1 END AS merged_into, COALESCE(lc.articles, 0) AS source_count, md5(CASE WHEN new.sid IS NOT NULL THEN COALESCE(counter, '') ELSE 'kept' END) AS counter, CASE WHEN new.sid IS NOT NULL THEN COALESCE(top, '') ELSE 'kept' END AS top, md5(COALESCE(sl.slugs, 'kept')) AS slugs, CASE WHEN new.sid IS NOT NULL AND old.c IS NOT NULL THEN round(list_cosine_similarity(old.c, new.c), 6) END AS drift,
+  array_to_string(list_transform(COALESCE(new.c, old.c), lambda x: CAST(round(x * 1000000) AS BIGINT)), ' ') AS centroid FROM stories s LEFT JOIN new ON new.sid = s.id LEFT JOIN old ON old.story_id = s.id LEFT JOIN m ON m.sid = s.id LEFT JOIN sl ON sl.sid = s.id LEFT JOIN lc ON lc.sid = s.id""")
 def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two merges and the nightly recompute after them: all components, counts, first entities and slugs, against stories as they stood 15 days before."""
     a = frames.articles(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") == F.col("vec_id"), "left")
     tags = F.array_distinct(T.tokens(F.col("title"), 4))
-    a = a.select(F.col("id").alias("article_id"), "published_at", tags.alias("entities"), F.upper(F.substring_index("title", " ", 1)).alias("slug"), "embedding")
+    a = a.select(F.col("id").alias("article_id"), "published_at", tags.alias("entities"), F.upper(F.array_min(tags)).alias("slug"), "embedding")
     a = cut(a)
     links = frames.links(spark, sf_dir)
     early = links.join(a.filter(F.col("published_at") < F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 15 DAYS")), "article_id")
