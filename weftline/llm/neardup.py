@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.graph import connected_components
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import counted, cut
 from weftline.plans.spread import join_spread
 
 #: Texts of fewer words are similar to equal texts only.
@@ -283,7 +283,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return drawn.join(repeated, "key")
 
 
-def buckets(members: DataFrame) -> DataFrame:
+def buckets(members: DataFrame, tasks: int) -> DataFrame:
     """``members`` (key, node, class, bytes) with blocks, own, hub and hub_class, for the buckets that may link classes.
 
     Of buckets with the same nodes one is enough; most nodes agree with the same others in several samples. ``blocks``
@@ -291,18 +291,19 @@ def buckets(members: DataFrame) -> DataFrame:
     """
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in range(2)]
     span = [F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct("node", "class")).alias("hub")]
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), *span, *marks).filter("low <> high")
-    chosen = sizes.groupBy("size", "mark0", "mark1").agg(F.min(F.struct("key", "bytes", "hub")).alias("b"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"), *span, *marks).filter("low <> high").coalesce(tasks)
+    chosen = sizes.groupBy("size", "mark0", "mark1").agg(F.min(F.struct("key", "bytes", "hub")).alias("b")).coalesce(tasks)
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("b.bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     chosen = chosen.select("b.key", F.col("b.hub.node").alias("hub"), F.col("b.hub.class").alias("hub_class"), blocks.alias("blocks"))
-    found = join_spread(members, chosen, ["key"], "node", "inner")
+    found = join_spread(members, chosen, ["key"], "node", "inner", tasks)
     return found.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _grouped(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Compare inside (key, low, high): rows have node, class and side; texts are joined here."""
     rows = rows.join(texts.select("node", "text"), "node").repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "node")
-    return cut(rows.mapInArrow(_compared(least), "key long, node binary, root binary"))
+    found, tasks = counted(rows.mapInArrow(_compared(least), "key long, node binary, root binary"))
+    return found.coalesce(tasks)
 
 
 def _rows(rows: DataFrame, low: Column, high: Column, side: Column) -> DataFrame:
@@ -312,11 +313,15 @@ def _rows(rows: DataFrame, low: Column, high: Column, side: Column) -> DataFrame
 def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Edges (node, root) that connect all nodes whose texts (node, text) are linked.
 
+    What is narrow is joined and grouped by the tasks that its rows are worth; texts are compared by all.
+
     All nodes of a bucket meet. Beyond one block, its smallest node, the hub, meets every block first; what it links is
     one class, whose inner links change nothing. The others then meet the class and each other as pairs of blocks. So
     a bucket of copies takes one pass over its blocks, and none is gathered in one task or cut short.
     """
-    rows = cut(buckets(members))
+    members, tasks = counted(members)
+    rows, tasks = counted(buckets(members.coalesce(tasks), tasks))
+    rows = rows.coalesce(tasks)
     zero, one, own = F.lit(0), F.lit(1), F.col("own")
     large = rows.filter("blocks > 1")
     hubs = large.filter("node = hub").withColumn("at", F.explode(F.sequence(zero, F.col("blocks") - 1)))
@@ -325,18 +330,19 @@ def links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     if large.isEmpty():
         return found.select("node", "root")
 
-    tied = found.select("key", "node", F.lit(True).alias("tied")).distinct()
-    large = large.join(tied, ["key", "node"], "left").withColumn("tied", F.coalesce("tied", F.col("class") == F.col("hub_class")))
-    large = cut(large.withColumn("class", F.when(F.col("tied"), F.col("hub_class")).otherwise(F.col("class"))))
+    tied = found.select("key", "node", F.lit(True).alias("tied")).distinct().coalesce(tasks)
+    large = large.join(tied, ["key", "node"], "left").coalesce(tasks).withColumn("tied", F.coalesce("tied", F.col("class") == F.col("hub_class")))
+    large, tasks = counted(large.withColumn("class", F.when(F.col("tied"), F.col("hub_class")).otherwise(F.col("class"))))
+    large = large.coalesce(tasks)
     others = large.filter("not tied")
-    count = others.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.max("blocks").alias("most"))
+    count = others.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.max("blocks").alias("most")).coalesce(tasks)
     # No more blocks than the whole bucket has, so none holds more than there.
     count = count.select("key", F.least("most", "n").alias("parts"))
-    others = join_spread(others, count, ["key"], "node", "inner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    held = join_spread(large.filter("tied"), count, ["key"], "node", "inner").withColumn("place", F.col("parts") + F.col("own"))
+    others = join_spread(others, count, ["key"], "node", "inner", tasks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    held = join_spread(large.filter("tied"), count, ["key"], "node", "inner", tasks).withColumn("place", F.col("parts") + F.col("own"))
     each = F.explode(F.sequence(zero, F.col("parts") - 1))
     met = _rows(held.withColumn("at", each), F.col("at"), F.col("place"), one)
-    facing = others.join(held.select("key", "place").distinct(), "key")
+    facing = others.join(held.select("key", "place").distinct().coalesce(tasks), "key")
     pairs = others.withColumn("other", each)
     among = _rows(pairs, F.least("own", "other"), F.greatest("own", "other"), (F.col("own") > F.col("other")).cast("int"))
     rest = _grouped(met.unionByName(_rows(facing, own, F.col("place"), zero)).unionByName(among), texts, least)
@@ -350,18 +356,19 @@ def text_classes(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     most that belongs together without sending out whole classes. Last, all nodes meet in the buckets of the other
     samples that still hold different classes. A bucket of one class has nothing to add.
     """
-    found = cut(candidates(nodes))
+    found, tasks = counted(candidates(nodes))
+    found = found.coalesce(tasks)
     named = found.select("number").distinct()
     texts = texts.withColumn("number", F.xxhash64("node")).join(named, "number", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.first("number").alias("number"), F.first("bytes").alias("bytes"), F.first("text").alias("text")))
     sizes = texts.select("number", "node", "bytes")
-    members = cut(found.join(sizes, "number").select("key", "first", "node", "bytes"))
+    members = cut(found.join(sizes, "number").coalesce(tasks).select("key", "first", "node", "bytes"))
     classes = connected_components(links(members.filter("first").withColumn("class", F.col("node")), texts, least), "node", "root")
     for one_each in (True, False):
-        met = (members if one_each else members.filter("not first")).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+        met = (members if one_each else members.filter("not first")).join(classes, "node", "left").coalesce(tasks).withColumn("class", F.coalesce("component", "node"))
         if one_each:
-            met = met.groupBy("key", "class").agg(F.min(F.struct("node", "bytes")).alias("least")).select("key", "class", "least.*")
-        more = links(cut(met.select("key", "node", "class", "bytes")), texts, least)
+            met = met.groupBy("key", "class").agg(F.min(F.struct("node", "bytes")).alias("least")).coalesce(tasks).select("key", "class", "least.*")
+        more = links(met.select("key", "node", "class", "bytes"), texts, least)
         # What is known hangs on the smallest node of its class already.
         classes = connected_components(classes.withColumnRenamed("component", "root").unionByName(more), "node", "root")
     return classes
@@ -382,17 +389,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "d
     is small enough for Spark to send it to them, and candidates' texts once per block in which they are compared.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("node"), F.octet_length(F.col(text)).cast("long").alias("bytes"))
-    rows = cut(named.mapInArrow(_sketched, "doc_id long, node binary, bytes long, sketch array<long>"))
+    rows, tasks = counted(named.mapInArrow(_sketched, "doc_id long, node binary, bytes long, sketch array<long>"))
     usable = rows.filter("node is not null and doc_id is not null")
     nodes = usable.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bytes").alias("bytes"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes)
     classes = text_classes(nodes, named.filter("node is not null").select("node", "bytes", "text"), least)
     ids = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
-    ids = cut(ids)
-    by_class = ids.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
-    placed = join_spread(ids, by_class, ["class"], "node", "inner").select("node", "class_id", "n_texts")
+    ids = cut(ids.coalesce(tasks))
+    by_class = ids.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts")).coalesce(tasks)
+    placed = join_spread(ids, by_class, ["class"], "node", "inner", tasks).select("node", "class_id", "n_texts")
     own = F.col("node").isNull() | F.col("doc_id").isNull()
-    out = join_spread(rows.select("doc_id", "node"), placed, ["node"], "doc_id", "left").select(
+    out = join_spread(rows.select("doc_id", "node").coalesce(tasks), placed, ["node"], "doc_id", "left", tasks).select(
         "doc_id", F.lower(F.hex("node")).alias("text_md5"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.lit(1)).otherwise(F.col("n_texts")).cast("long").alias("n_texts"),
     )
