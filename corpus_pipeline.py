@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import mixing, neardup, pieces, pseudonyms, quality
 from weftline.llm.settings import pseudonym_key, tokenizer
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import counted, cut
 from weftline.plans.spread import join_spread
 
 #: Columns of documents, which all stages but the last return.
@@ -30,10 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smallest id, that with the least digest. Rows without an id or a text are each their own document and stay.
     Texts without words are one with equal texts only; an empty table gives none; further columns are dropped.
     """
-    found = cut(neardup.near_duplicates(docs))
-    named = found.filter("doc_id is not null and text_md5 is not null")
-    first = named.filter("kept").groupBy("class_id").agg(F.min("text_md5").alias("_first"))
-    dropped = join_spread(named, first, ["class_id"], "doc_id", "inner").filter(~F.col("kept") | (F.col("text_md5") != F.col("_first")))
+    found, tasks = counted(neardup.near_duplicates(docs))
+    named = found.coalesce(tasks).filter("doc_id is not null and text_md5 is not null")
+    first = named.filter("kept").groupBy("class_id").agg(F.min("text_md5").alias("_first")).coalesce(tasks)
+    dropped = join_spread(named, first, ["class_id"], "doc_id", "inner", tasks).filter(~F.col("kept") | (F.col("text_md5") != F.col("_first")))
     dropped = dropped.select("doc_id", F.col("text_md5").alias("_md5")).distinct()
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
     # Rows that repeat are one document; they meet where they stand, before their texts are sent out.

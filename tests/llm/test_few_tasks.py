@@ -79,3 +79,14 @@ def test_spread_joins_in_few_tasks_equal_plain_joins(many, tasks):
         found = join_spread(rows.coalesce(tasks), facts, ["key"], "id", how, tasks)
         assert found.rdd.getNumPartitions() == tasks
         assert sorted(map(str, found.select("key", "id", "fact").collect())) == sorted(map(str, rows.join(facts, "key", how).select("key", "id", "fact").collect()))
+
+
+def test_the_stage_of_the_pipeline_takes_few_tasks(many):
+    import corpus_pipeline
+
+    same = " ".join(f"w{k}" for k in range(40))
+    rows = [(n, same if n % 2 else f"{same} {n}", "en", "s", 100) for n in range(20)] + [(3, same, "en", "s", 100), (None, same, "en", "s", 100), (50, None, "en", "s", None)]
+    docs = many.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found, tasks = tasks_of(many, "stage", lambda: corpus_pipeline.near_duplicates(many, docs, "").collect())
+    assert sorted(str(r["doc_id"]) for r in found) == ["0", "50", "None"]
+    assert tasks < 30 * PARTITIONS
