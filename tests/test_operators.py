@@ -11,6 +11,7 @@ from weftline.functions import python as P
 from weftline.functions import text as T
 from weftline.functions import vectors as V
 from weftline.operators import maintenance, online, paging, relevance, scoring, search, upsert
+from weftline.plans import registry
 from weftline.sources import feeds, pages
 from weftline.streaming import ingest
 
@@ -386,3 +387,19 @@ def test_web_searches_and_cursors(spark):
     assert [r["p"] and tuple(r["p"]) for r in c] == [("a::b", -7), None, None, None]
     pages = spark.createDataFrame([(1, 1), (5, 9), (2, 3), (1, 0)], "n long, total long").select(paging.shown_pages(F.col("n"), F.col("total")).alias("p")).collect()
     assert [r["p"] for r in pages] == [[1], [1, None, 4, 5, 6, None, 9], [1, 2, 3], []]
+
+
+def test_extracts_of_odd_texts_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from weftline.plans import texts
+
+    found = ["éles x", "lesé", "théthe", "die ä der", "ólos ", "les_", "İ the", "THİE the", "the\x0bx", "der:\x0bx", "THE  x", "a\nsecond\r", "a\nsecond\u0085", "a\n　second ", "a\n \n", "ÉABC ABCÉ USA", "", None]
+    frame = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = texts.extracts(spark, str(tmp_path)).orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT * FROM ({registry.SQL['f17_f19_f25_f35_extracts']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in rows] == want
+    assert [r["actor"] for r in rows][:5] == ["FR-LES", "FR-LES", "EN-THE", "DE-DER", "ES-LOS"]
