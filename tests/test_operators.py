@@ -403,3 +403,19 @@ def test_extracts_of_odd_texts_equal_their_sql(spark, tmp_path):
     want = con.execute(f"SELECT * FROM ({registry.SQL['f17_f19_f25_f35_extracts']}) ORDER BY doc_id").fetchall()
     assert [tuple(r) for r in rows] == want
     assert [r["actor"] for r in rows][:5] == ["FR-LES", "FR-LES", "EN-THE", "DE-DER", "ES-LOS"]
+
+
+def test_relevance_of_odd_pages_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from weftline.plans import texts
+
+    urls = [None, None, "http://a.b/opinion/x", "http://a/polİtics/", "HTTP://x/POLITICS/a#", "http://a/opİnion/", *["http://x/"] * 9]
+    html = [None, "trump", None, "dhs", "é", "", "icé", "éice", "ÉTRUMP mayoré", "white\x0bhouse", "white\r\n<b>house", "İCE", "dea_", "1dea", "city  council"]
+    spark.createDataFrame(list(zip(range(15), urls, html, strict=True)), "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = texts.relevance(spark, str(tmp_path)).orderBy("page_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT * FROM ({registry.SQL['p19_p21_relevance']}) ORDER BY page_id").fetchall()
+    assert [tuple(r) for r in rows] == want
+    assert [(r["score"], r["opinion"]) for r in rows][:4] == [(-2, None), (2, None), (-3, True), (3, False)]

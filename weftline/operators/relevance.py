@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline import config
+from weftline.functions.text import ascii_edges
 from weftline.operators.queue import timestamp
 
 
 def any_pattern(c: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(Column.__or__, [c.rlike(p) for p in patterns], F.lit(False))
+    return reduce(Column.__or__, [c.rlike(ascii_edges(p)) for p in patterns], F.lit(False))
 
 
 def relevance(text: Column, path: Column, required: tuple[str, ...] = (), forbidden: tuple[str, ...] = (), allow: tuple[str, ...] = (), block: tuple[str, ...] = ()) -> Column:

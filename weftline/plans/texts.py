@@ -168,8 +168,10 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.operators.relevance import relevance as scored
 
     p = table(spark, sf_dir, "pages")
-    score = scored(F.lower(T.strip_html(F.col("html"))), F.lower(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)))
-    return p.select("page_id", score.alias("score"), (score >= 1).alias("keep"), T.is_opinion(F.col("url"), F.lit(None).cast("string")).alias("opinion"))
+    text = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), f"{T.BLANK}+", " ")
+    path = T.lower_letters(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1))
+    score = T.let(T.lower_letters(text), lambda t: scored(t, path))
+    return p.select("page_id", score.alias("score"), (score >= 1).alias("keep"), T.lower_letters(F.col("url")).rlike(config.OPINION_PATH).alias("opinion"))
 
 
 @query("p20_s21_freshness", f"WITH {ARTICLES_SQL} SELECT id, CASE WHEN published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 96 HOUR THEN 'kept' ELSE 'freshness_filter' END AS outcome, strftime(least(published_at, TIMESTAMP '{AS_OF}' + INTERVAL 5 MINUTE), '%Y-%m-%d %H') AS published FROM articles")
