@@ -419,3 +419,11 @@ def test_relevance_of_odd_pages_equals_its_sql(spark, tmp_path):
     want = con.execute(f"SELECT * FROM ({registry.SQL['p19_p21_relevance']}) ORDER BY page_id").fetchall()
     assert [tuple(r) for r in rows] == want
     assert [(r["score"], r["opinion"]) for r in rows][:4] == [(-2, None), (2, None), (-3, True), (3, False)]
+
+
+def test_csv_keeps_values_as_they_stand(spark, tmp_path):
+    odd = ["", None, " ", " lead", "trail ", "\ttab\t", "a\r\nb", "\r", "\n", '"', '""', ' "q" ', '"\0', 'x\0"y', "\\", '\\"', "#", "﻿x", "null"]
+    rows = [(a, k, b) for k, (a, b) in enumerate((a, b) for a in odd for b in odd)]
+    frame = spark.createDataFrame(rows, "a string, k long, b string").repartition(3)
+    feeds.write_csv(frame, str(tmp_path / "csv"))
+    assert sorted(map(tuple, feeds.read_csv(spark, str(tmp_path / "csv"), frame.schema).collect()), key=lambda r: r[1]) == rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +49,17 @@ def json_records(lines: DataFrame, marker: str, schema: str, line: str = "value"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True)
+    """CSV with a header, values as they stand: nothing is null, an empty value in quotes is empty text."""
+    # Spark takes both for null unless quotes around nothing have a mark of their own, which no text may equal.
+    empty = uuid.uuid4().hex
+    df = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', multiLine=True, emptyValue=empty, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.select(*(F.when(F.col(f"`{c}`") == empty, "").otherwise(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; values with commas, quotes or line ends are quoted and quotes doubled."""
-    df.write.csv(path, header=True, quote='"', escape='"')
+    """CSV with a header; values with commas, quotes or line ends are quoted and quotes doubled, blanks around them kept; null is nothing at all."""
+    df.write.csv(path, header=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def scraper_events(lines: DataFrame, line: str = "value") -> DataFrame:
