@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import legal
 from weftline.operators import attach, fingerprints, limits, string_join
-from weftline.plans import running
+from weftline.plans import registry, running, searches
 from weftline.sources import feeds
 
 
@@ -90,6 +90,30 @@ def test_token_buckets_equal_a_sequential_limiter(spark, monkeypatch, bits):
     assert limits.token_bucket(frame.limit(0), 7).count() == 0
 
 
+@pytest.mark.parametrize("bits", [16, 2])
+def test_token_buckets_equal_their_sql_at_halves(spark, monkeypatch, tmp_path, bits):
+    """Waits of whole and half hundredths of a second, which any other order of sums rounds otherwise."""
+    import duckdb
+
+    monkeypatch.setattr(running, "RUN_BITS", bits)
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows, now = [], 0
+    for k in range(1500):
+        # Streaks in which a bucket is never empty nor full, then waits.
+        even = 5 if k % 300 < 4 else 10_000 + rng.choice([-5, 0, 5])
+        now += even if k % 300 < 150 else rng.choice([5, 1995, 2005, 3335, 5015])
+        rows.append((k, "even" if k % 300 < 150 else rng.choice("ab"), start + datetime.timedelta(milliseconds=now)))
+    rows += [(5000, "a", None), (5001, "late", None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    found = sorted(map(tuple, searches.token_buckets(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.SQL["w10_token_bucket"]).fetchall())
+    assert [r for r in want if r[1] < 5000] == [r for r in found if r[1] < 5000] and found == want
+    assert sum(w > 0 for *_, w in found) > 100
+
+
 def test_syllabus_begins_at_its_heading_and_ends_at_a_justice(spark):
     held = "The Court held that the rule applies to all who ask. " * 4
     cases = [
