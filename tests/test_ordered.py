@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.operators import ordered
+from weftline.operators import chunked, ordered
 from weftline.plans import running
 
 START = datetime.datetime(2024, 1, 1)
@@ -77,3 +77,29 @@ def test_nothing_to_cluster(spark):
     a = ordered.ordered_articles(spark.createDataFrame([], SCHEMA))
     pairs = spark.createDataFrame([], "article long, founder long")
     assert ordered.cluster_in_rounds(a, pairs, 0.8)[0].count() == 0
+
+
+@pytest.mark.parametrize(("seed", "sizes"), [(3, (2048, 4096, 8)), (4, (32, 16, 1)), (5, (24, 3, 2))])
+def test_chunks_equal_the_sequence(spark, monkeypatch, seed, sizes):
+    for name, size in zip(("CHUNK", "PART", "LISTED"), sizes, strict=True):
+        monkeypatch.setattr(chunked, name, size)
+    rows = [(*r[:5], "all") for r in articles(seed, 160)]
+    a = ordered.ordered_articles(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    found, chunks = chunked.cluster_in_chunks(a, attach=0.8, slug_attach=0.55, hours=48)
+    got = {r["article"]: (r["story"], r["sim"], r["status"]) for r in found.collect()}
+    want = sequential(rows, 0.8, 0.55, 48)
+    assert {k: (s, status) for k, (s, _, status) in got.items()} == {k: (s, status) for k, (s, _, status) in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-9) for k in want)
+    assert {status for *_, status in want.values()} == {"title", "attached", "created"} and chunks >= -(-160 // sizes[0])
+    assert chunked.cluster_in_chunks(a.limit(0), 0.8)[0].count() == 0
+
+
+def test_articles_of_other_sources_and_days_share_stories(spark, tmp_path):
+    from weftline.plans import searches
+
+    day = [1.0] + [0.0] * 7
+    documents = [(720, "Alpha one", "en", "s"), (743, "Beta two", "en", "t"), (700, "Gamma three", "en", "s")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, day) for k, *_ in documents], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r["article"]: (r["story"], r["status"]) for r in searches.clusters_in_rounds(spark, str(tmp_path)).collect()}
+    assert found == {700: (700, "created"), 743: (743, "created"), 720: (743, "attached")}
